@@ -1,0 +1,6 @@
+"""Registered queries; importing the package fills the registry."""
+
+from pageproof.catalog import page_queries  # noqa: F401
+from pageproof.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -130,6 +130,11 @@ def diff_words(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return pd.Series([one(e, a) for e, a in zip(expected, actual)], dtype=object)
 
 
+# Keeps the optimiser from evaluating a call twice to push a filter below it.
+lcs_align = lcs_align.asNondeterministic()
+diff_words = diff_words.asNondeterministic()
+
+
 def diff_summary(diff, subject="Paragraph text") -> Column:
     """One sentence on a diff: counts per kind and one example."""
     diff = F.col(diff) if isinstance(diff, str) else diff

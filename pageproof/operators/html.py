@@ -73,6 +73,12 @@ def _dom_faqs(html: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else faq_items(h) for h in html], dtype=object)
 
 
+# Not deterministic for the optimiser only: it keeps a filter inferred further
+# up (for instance from explode) from pulling a second call below itself.
+_dom_parts = _dom_parts.asNondeterministic()
+_dom_faqs = _dom_faqs.asNondeterministic()
+
+
 def attr(tag, name: str) -> Column:
     """Attribute of one start tag: NULL when absent, '' when empty."""
     lead = r"""(?i)[\s"'/]""" + name
