@@ -52,18 +52,23 @@ _LAYOUT = "(cast(floor(page_id / 10) as bigint) % 3)"
 
 
 def _cells(columns: list[tuple[int, str, str]]) -> str:
-    """(layout, header, value) triples to cells; columns count per layout."""
-    seen: dict[int, int] = {}
-    parts = []
+    """(layout, header, value) triples to cells in one scan of the pages: each
+    page meets its layout's columns (a fixed list) as a data and a blank row,
+    and the first page of a sheet as the header row as well."""
+    placed, seen = [], {}
     for layout, header, value in columns:
         col = seen.get(layout, 0)
         seen[layout] = col + 1
-        where = f"from {{pages}} where {_LAYOUT} = {layout}"
-        parts.append(f"select distinct {_SHEET} as sheet_id, cast(3 as bigint) as row_no, {col} as col_no, '{header}' as value {where}")
-        parts.append(f"select {_SHEET}, {_ROW}, {col}, {value} {where}")
-        parts.append(f"select {_SHEET}, {_ROW} + 1, {col}, '  ' {where}")
-    parts.append(f"select distinct {_SHEET}, cast(1 as bigint), 0, 'Quarterly review' from {{pages}}")
-    return "\nunion all ".join(parts)
+        placed.append((layout, col, header, value))
+    names = ", ".join(f"({layout}, {col}, '{header}')" for layout, col, header, _ in placed)
+    value = " ".join(f"when layout = {layout} and col_no = {col} then {v}" for layout, col, _, v in placed)
+    return f"""
+select {_SHEET} as sheet_id, case k.kind when 'data' then {_ROW} when 'blank' then {_ROW} + 1 else cast(3 as bigint) end as row_no, col_no,
+  case k.kind when 'data' then case {value} end when 'blank' then '  ' else header end as value
+from {{pages}} join (values {names}) c(layout, col_no, header) on {_LAYOUT} = layout
+  join (values ('data'), ('blank'), ('header')) k(kind) on k.kind <> 'header' or page_id % 10 = 0
+union all select {_SHEET}, cast(1 as bigint), 0, 'Quarterly review' from {{pages}} where page_id % 10 = 0
+"""
 
 
 ISSUE_COLUMNS = [
@@ -112,7 +117,7 @@ from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.tur
 where u.role = 'user' and u.conv_id % 5 <> 4
 """
 PUBLISHED_FAQS = """
-select 'https://faq.example/' || cast(floor(u.conv_id / 6) as bigint) as url, u.conv_id * 100 + u.turn as pos, upper(u.text) || '?' as question,
+select 'https://faq.example/' || cast(floor(u.conv_id / 6) as bigint) as url, u.conv_id * 100 + u.turn as pos, translate(u.text, 'aeiot', 'AEIOT') || '?' as question,
   case when u.turn = 2 then 'Changed. ' || a.text || ' Read more' when u.turn = 4 then 'An entirely different answer' else a.text end as answer
 from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
 where u.role = 'user' and u.conv_id % 7 <> 3

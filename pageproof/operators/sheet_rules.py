@@ -8,6 +8,8 @@ make one small profile row per sheet; data rows meet their profile at
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def issue_type(value) -> Column:
 
 def alias_family(header: Column) -> Column:
     aliases = {a.replace(" ", ""): fam for fam, names in FAMILIES.items() for a in names.split("|")}
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(aliases)), "map<string,string>")
     return table[t.normalize_label(header)]
 
 
@@ -90,7 +92,7 @@ def recommended_field(header: Column) -> Column:
 
 
 def recommended_label(kind: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for k, label, _ in RECOMMENDATIONS for x in (k, label)])
+    table = F.from_json(F.lit(json.dumps({k: label for k, label, _ in RECOMMENDATIONS})), "map<string,string>")
     return table[kind]
 
 
@@ -111,32 +113,30 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     )
 
 
+@t.by_name
+def header_score() -> Column:
+    """Alias families named by a row, plus one for any recommendation."""
+    families = F.filter(F.transform("cells", lambda c: alias_family(c["v"])), lambda f: f.isNotNull())
+    recs = F.exists("cells", lambda c: (c["v"] != "") & recommended_field(c["v"]).isNotNull())
+    return F.size(F.array_distinct(families)) + recs.cast("int")
+
+
 def header_candidates(rows: DataFrame) -> DataFrame:
     """First ten filled rows of each sheet with index and header score. The
     row limit per sheet is applied before the shuffle as well as after."""
     top = Window.partitionBy("sheet_id").orderBy("row_no")
     early = rows.withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= HEADER_ROWS)
-    families = F.array_distinct(F.filter(F.transform("cells", lambda c: alias_family(c["v"])), lambda f: f.isNotNull()))
-    recs = F.exists("cells", lambda c: (c["v"] != "") & recommended_field(c["v"]).isNotNull())
     return early.select(
         "sheet_id",
         "row_no",
         (F.col("_rn") - 1).alias("header_index"),
         "cells",
-        (F.size(families) + recs.cast("int")).alias("score"),
+        header_score().alias("score"),
     )
 
 
-def sheet_profiles(rows: DataFrame) -> DataFrame:
-    """One row per sheet with a usable header: where it is, which column
-    plays which role, and the sheet's mode."""
-    picked = (
-        header_candidates(rows)
-        .where("score > 0")
-        .groupBy("sheet_id")
-        .agg(F.min_by(F.struct("row_no", "header_index", "cells", "score"), F.struct(-F.col("score"), F.col("row_no"))).alias("x"))
-        .select("sheet_id", "x.*")
-    )
+@t.by_name
+def _profile_columns() -> list:
     roles = F.filter(
         F.transform("cells", lambda c: F.struct(alias_family(c["v"]).alias("role"), c["col"].alias("col"), c["v"].alias("v"))),
         lambda r: r["role"].isNotNull(),
@@ -161,37 +161,40 @@ def sheet_profiles(rows: DataFrame) -> DataFrame:
     )
     later = lambda n, i: F.exists(F.slice("_names", i + 2, F.size("_names")), lambda m: m["name"] == n["name"])
     role = lambda r: F.get(F.filter("_roles", lambda x: x["role"] == r), F.lit(0))
-    return (
-        picked.withColumns({"_roles": roles, "rec_fields": recs, "_names": names})
-        .withColumns(
-            {
-                **{f"{r}_col": role(r)["col"] for r in FAMILIES},
-                # A repeated header keeps its last column.
-                "raw_names": F.filter("_names", lambda n, i: ~later(n, i)),
-                "detected": F.map_from_entries(
-                    F.filter(
-                        F.array(*[F.struct(F.lit(r).alias("k"), role(r)["v"].alias("v")) for r in FAMILIES]),
-                        lambda e: e["v"].isNotNull(),
-                    )
-                ),
-            }
-        )
-        .withColumn(
-            "mode",
-            F.when(F.size("rec_fields") >= 2, "recommendation")
-            .when(F.col("checkType_col").isNotNull(), "issueBased")
-            .when((F.size("rec_fields") >= 1) & F.col("url_col").isNotNull(), "recommendation")
-            .otherwise("issueBased"),
-        )
-        .withColumn(
-            "detected",
-            F.when(
-                F.col("mode") == "recommendation", F.map_filter("detected", lambda k, v: k == "url")
-            ).otherwise(F.col("detected")),
-        )
-        .drop("_roles", "_names", "cells")
-        .withColumnRenamed("row_no", "header_row_no")
+    mode = (
+        F.when(F.size("rec_fields") >= 2, "recommendation")
+        .when(F.col("checkType_col").isNotNull(), "issueBased")
+        .when((F.size("rec_fields") >= 1) & F.col("url_col").isNotNull(), "recommendation")
+        .otherwise("issueBased")
     )
+    shown = F.filter("_roles", lambda r: (F.col("mode") != "recommendation") | (r["role"] == "url"))
+    first = F.filter(shown, lambda r: ~F.exists("_roles", lambda q: (q["role"] == r["role"]) & (q["col"] < r["col"])))
+    return [
+        {"_roles": roles, "rec_fields": recs, "_names": names},
+        {
+            **{f"{r}_col": role(r)["col"] for r in FAMILIES},
+            # A repeated header keeps its last column.
+            "raw_names": F.filter("_names", lambda n, i: ~later(n, i)),
+        },
+        {"mode": mode},
+        {"detected": F.map_from_entries(F.transform(first, lambda r: F.struct(r["role"].alias("k"), r["v"].alias("v"))))},
+    ]
+
+
+def sheet_profiles(rows: DataFrame) -> DataFrame:
+    """One row per sheet with a usable header: where it is, which column
+    plays which role, and the sheet's mode."""
+    picked = (
+        header_candidates(rows)
+        .where("score > 0")
+        .groupBy("sheet_id")
+        .agg(F.min_by(F.struct("row_no", "header_index", "cells", "score"), F.struct(-F.col("score"), F.col("row_no"))).alias("x"))
+        .select("sheet_id", "x.*")
+    )
+    step = picked
+    for columns in _profile_columns():
+        step = step.withColumns(columns)
+    return step.drop("_roles", "_names", "cells").withColumnRenamed("row_no", "header_row_no")
 
 
 def data_rows(rows: DataFrame, profiles: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -226,6 +229,7 @@ def _first_cell(test) -> Column:
     return F.get(F.filter("cells", test), F.lit(0))["v"]
 
 
+@t.by_name
 def raw_map() -> Column:
     return F.map_from_entries(
         F.transform(
@@ -235,6 +239,7 @@ def raw_map() -> Column:
     )
 
 
+@t.by_name
 def row_url() -> Column:
     """The URL column's cell; rows are searched only when no such column."""
     return F.when(F.col("url_col").isNotNull(), _cell(F.col("url_col"))).otherwise(_first_cell(lambda c: t.is_url(c["v"])))
