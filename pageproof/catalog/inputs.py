@@ -143,3 +143,61 @@ select 'run-' || cast(user_id % 10 as bigint) || '-' || substring(cast(ts as var
   count(*) as total_rows
 from {events} group by 1, 2, 3, 4
 """
+
+# ---- content briefs ---------------------------------------------------------
+DOC_OF_PAGE = "cast(regexp_extract(p.url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) as bigint)"
+_LAST = "split_part(d.text, chr(10), -1)"
+
+# The paired document's text as a writer might have changed it: moved last
+# line, joined clauses, an added closing line, or as published.
+DRAFTS = f"""
+select p.page_id, p.url, substring(split_part(d.text, chr(10), 1), 1, 60) as headline, d.lang,
+  case when p.page_id % 4 = 1 and d.text like '%' || chr(10) || '%' then {_LAST} || chr(10) || substring(d.text, 1, length(d.text) - length({_LAST}) - 1)
+    when p.page_id % 4 = 2 then replace(d.text, ', ', ' and so ')
+    when p.page_id % 4 = 3 then d.text || chr(10) || 'An entirely new closing paragraph written for page ' || p.page_id || ' alone.'
+    else d.text end as draft
+from {{pages}} p join {{documents}} d on d.doc_id = {DOC_OF_PAGE}
+"""
+
+
+def escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+# Brief markup around each draft; the place of the title varies by page.
+BRIEFS = f"""
+select page_id as doc_id, url,
+  case page_id % 5 when 0 then '<h3>' || {escaped('headline')} || ' - H3</h3>' else '' end ||
+  '<p>' || chr(8203) || '<strong>Meta Title:</strong> ' || {escaped('headline')} || '<br/>Slug &ndash; x</p>' ||
+  '<p>SEO Slug: page-' || page_id || ' Focus Keyword: anything</p>' ||
+  case page_id % 3 when 0 then '<table><tr><th>Meta Description</th><td>About <b>page</b> ' || page_id || '</td></tr><tr><td>Other</td><td>x</td></tr></table>'
+    when 1 then '<p>Met Description:<br>About page ' || page_id || '</p>' else '<p>Description &#8211;</p>' end ||
+  case page_id % 5 when 1 then '<p>H1:</p><p>' || {escaped('headline')} || '</p>' when 2 then '<h1>' || {escaped('headline')} || '</h1>' else '' end ||
+  '<p>-------</p><p>' || replace({escaped('draft')}, chr(10), case when page_id % 2 = 0 then '</p><p>' else '<br>' end) || '</p>' ||
+  '<h2>Questions (H2)</h2><p>What is it? (H4)<br>An answer with <b>bold words</b> and <a class="x" href="https://Links.example/a/?utm_source=q&amp;b=' || page_id || '">a link</a></p>' ||
+  '<ul><li>First item</li><li>----</li><li>Second <strong>item</strong></li></ul>' as html
+from ({DRAFTS}) t
+"""
+
+# Documents with their lines published as headings, one way or another.
+HEADED = f"""
+select doc_id, 'https://docs.example/' || doc_id as url, '<html><body><article><h1>Document ' || doc_id || '</h1>' ||
+  case doc_id % 5 when 1 then '<h3>' || replace({escaped('text')}, chr(10), '</h3><h3>') || '</h3>'
+    when 2 then '<p><b>' || replace({escaped('text')}, chr(10), '</b></p><p><b>') || '</b></p>'
+    when 3 then '<h2>+ ' || replace({escaped('text')}, chr(10), ' +</h2><h2>+ ') || ' +</h2>'
+    when 4 then '<h2>' || replace({escaped("replace(text, ', ', ' and so ')")}, chr(10), '</h2><h2>') || '</h2>'
+    else '<h2>' || replace({escaped('text')}, chr(10), '</h2><h2>') || '</h2>' end || '</article></body></html>' as html
+from {{documents}}
+"""
+HEADING_BRIEFS = f"""
+select doc_id, 'https://docs.example/' || doc_id as url, '<h2>' || replace({escaped('text')}, chr(10), '</h2><h2>') || '</h2>' as html from {{documents}}
+"""
+
+# Links and bold phrases per user and day, repeats included.
+_WHO = "user_id * 100 + cast(substring(cast(ts as varchar(40)), 9, 2) as bigint)"
+LINKS = f"""
+select {_WHO} as pair_id, 'https://site.example/' || user_id as url, event_id as idx,
+  case event_type when 'view' then 'See plans' when 'click' then 'Read  More' when 'error' then 'Contact' when 'signup' then 'Sign up' else 'Buy' end as text,
+  'https://site.example/t/' || cast(floor(value / 12) as bigint) as link
+from {{events}}
+"""

@@ -8,13 +8,14 @@ reported as changed reach the word diff.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageproof.functions import text as t
 from pageproof.functions import urls as u
 from pageproof.functions.align import diff_summary, diff_words, lcs_align
 from pageproof.operators import html as H
+from pageproof.operators.ordered import sequence_number
 from pageproof.operators.similar import best_similar
 
 RESULT = ["pair_id", "url", "family", "seq", "check_type", "status", "expected", "actual", "message", "diff"]
@@ -344,31 +345,33 @@ def heading_results(pairs: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _exploded(pairs: DataFrame, column: str, key) -> DataFrame:
-    return pairs.select("pair_id", "url", F.posexplode(column).alias("idx", "x")).withColumn("key", key)
-
-
-def _occurrence(df: DataFrame) -> DataFrame:
-    """k-th occurrence of a key on a page; a group is part of one page row."""
-    w = Window.partitionBy("pair_id", "key").orderBy("idx")
-    return df.withColumn("occ", F.row_number().over(w))
+def link_items(pairs: DataFrame, side: str) -> DataFrame:
+    """Long form (pair_id, url, idx, text, link) of one side's links."""
+    return pairs.select("pair_id", "url", F.posexplode(f"{side}_links").alias("idx", "x")).select(
+        "pair_id", "url", "idx", "x.text", F.col("x.url").alias("link")
+    )
 
 
-def link_results(pairs: DataFrame) -> DataFrame:
+def match_links(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Occurrence-counted (text, URL) matches, the two fallbacks, and one
-    warning per extra pair."""
-    shown = F.concat(F.col("x.text"), F.lit(" → "), F.col("x.url"))
-    pair_key = F.concat(t.normalize_cmp("x.text"), F.lit("||"), F.col("x.url"))
-    e = _occurrence(_exploded(pairs, "e_links", pair_key)).withColumns({"shown": shown, "tkey": t.normalize_cmp("x.text")})
-    a = _exploded(pairs, "a_links", pair_key).withColumns({"shown": shown, "tkey": t.normalize_cmp("x.text"), "aurl": F.col("x.url")})
-    first = F.min_by(F.struct(F.col("x.text").alias("text"), F.col("x.url").alias("url"), "shown"), "idx")
+    warning per extra pair, from long form. The k-th expected occurrence passes
+    when the page has k of them, so the published side is only counted."""
+    prepared = lambda df: df.withColumns(
+        {
+            "tkey": t.normalize_cmp("text"),
+            "key": F.concat(t.normalize_cmp("text"), F.lit("||"), "link"),
+            "shown": F.concat("text", F.lit(" → "), "link"),
+        }
+    )
+    e = sequence_number(prepared(expected), ["pair_id", "key"], "idx", "occ")
+    a = prepared(actual)
+    first = F.min_by(F.struct("text", "link", "shown"), "idx")
     have = a.groupBy("pair_id", "url", "key").agg(F.count("*").alias("n"), first.alias("f"), F.min("idx").alias("idx"))
-    by_url = a.groupBy("pair_id", "aurl").agg(first.alias("fu"))
+    by_url = a.groupBy("pair_id", "link").agg(first.alias("fu"))
     by_text = a.groupBy("pair_id", "tkey").agg(first.alias("ft"))
     step = (
         e.join(have.select("pair_id", "key", "n"), ["pair_id", "key"], "left")
-        .withColumn("aurl", F.col("x.url"))
-        .join(by_url, ["pair_id", "aurl"], "left")
+        .join(by_url, ["pair_id", "link"], "left")
         .join(by_text, ["pair_id", "tkey"], "left")
     )
     ok = F.coalesce(F.col("occ") <= F.col("n"), F.lit(False))
@@ -382,7 +385,7 @@ def link_results(pairs: DataFrame) -> DataFrame:
             same_url,
             quote(
                 'Hyperlink destination matches but anchor text differs. Expected "',
-                F.col("x.text"),
+                F.col("text"),
                 '" but found "',
                 F.col("fu.text"),
             ),
@@ -391,20 +394,20 @@ def link_results(pairs: DataFrame) -> DataFrame:
             same_text,
             quote(
                 'Hyperlink text matches but destination URL differs. Expected "',
-                F.col("x.url"),
+                F.col("link"),
                 '" but found "',
-                F.col("ft.url"),
+                F.col("ft.link"),
             ),
         )
         .otherwise(
-            F.concat(F.lit('Hyperlink "'), F.col("x.text"), F.lit('" ('), F.col("x.url"), F.lit(") is missing from the live page."))
+            F.concat(F.lit('Hyperlink "'), "text", F.lit('" ('), "link", F.lit(") is missing from the live page."))
         )
     )
     wrong = F.col("_found").isNotNull()
     diff = diff_words(F.when(wrong, F.col("shown")), F.when(wrong, F.col("_found")))
     named = lambda kind, text: F.concat(F.lit(f'{kind}: "'), t.preview10(text), F.lit('"'))
     checked = _row(
-        step, "link", F.col("idx"), named("Hyperlink", F.col("x.text")), F.when(ok, "passed").otherwise("failed"),
+        step, "link", F.col("idx"), named("Hyperlink", F.col("text")), F.when(ok, "passed").otherwise("failed"),
         F.col("shown"), F.when(ok, F.col("shown")).otherwise(F.col("_found")), message, diff,
     )
     wanted = e.groupBy("pair_id", "key").agg(F.count("*").alias("m"))
@@ -413,16 +416,20 @@ def link_results(pairs: DataFrame) -> DataFrame:
         extra, "link_extra", F.col("idx"), named("Hyperlink (extra)", F.col("f.text")), "warning", F.lit(None),
         F.col("f.shown"),
         F.concat(
-            F.lit('Hyperlink "'), F.col("f.text"), F.lit('" ('), F.col("f.url"),
+            F.lit('Hyperlink "'), F.col("f.text"), F.lit('" ('), F.col("f.link"),
             F.lit(") is present on the live page but not in the approved document."),
         ),
     )
     return checked.unionByName(extras)
 
 
-def bold_results(pairs: DataFrame) -> DataFrame:
-    """Occurrence-counted phrases; headings count as bold, link texts need not
-    be; one warning per extra phrase."""
+def link_results(pairs: DataFrame) -> DataFrame:
+    return match_links(link_items(pairs, "e"), link_items(pairs, "a"))
+
+
+def bold_items(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long forms: expected (pair_id, url, idx, text, head, link) with flags
+    for "is a heading" and "is an expected link's text", and published."""
     headings = F.concat(F.filter(F.array("a_title"), lambda x: x.isNotNull()), "a_h2", "a_h3", "a_h4")
     step = pairs.withColumns(
         {
@@ -430,25 +437,29 @@ def bold_results(pairs: DataFrame) -> DataFrame:
             "_texts": F.transform("e_links", lambda x: t.normalize_cmp(x["text"])),
         }
     )
-    phrase = F.transform("e_bolds", lambda b: F.struct(b.alias("text"), t.normalize_cmp(b).alias("key")))
-    step = step.withColumn(
-        "_b",
-        F.transform(
-            phrase,
-            lambda b: F.struct(
-                b["text"].alias("text"),
-                b["key"].alias("key"),
-                F.array_contains("_heads", b["key"]).alias("head"),
-                F.array_contains("_texts", b["key"]).alias("link"),
-            ),
+    flagged = F.transform(
+        "e_bolds",
+        lambda b: F.struct(
+            b.alias("text"),
+            F.array_contains("_heads", t.normalize_cmp(b)).alias("head"),
+            F.array_contains("_texts", t.normalize_cmp(b)).alias("link"),
         ),
     )
-    e = _occurrence(step.select("pair_id", "url", F.posexplode("_b").alias("idx", "x")).withColumn("key", F.col("x.key")))
-    a = _exploded(pairs, "a_bolds", t.normalize_cmp("x"))
-    have = a.groupBy("pair_id", "url", "key").agg(F.count("*").alias("n"), F.min_by("x", "idx").alias("text"), F.min("idx").alias("idx"))
+    e = step.select("pair_id", "url", F.posexplode(flagged).alias("idx", "x")).select(
+        "pair_id", "url", "idx", "x.text", "x.head", "x.link"
+    )
+    return e, pairs.select("pair_id", "url", F.posexplode("a_bolds").alias("idx", "text"))
+
+
+def match_bolds(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Occurrence-counted phrases; headings count as bold, link texts need not
+    be; one warning per extra phrase."""
+    e = sequence_number(expected.withColumn("key", t.normalize_cmp("text")), ["pair_id", "key"], "idx", "occ")
+    a = actual.withColumn("key", t.normalize_cmp("text"))
+    have = a.groupBy("pair_id", "url", "key").agg(F.count("*").alias("n"), F.min_by("text", "idx").alias("text"), F.min("idx").alias("idx"))
     j = e.join(have.select("pair_id", "key", "n"), ["pair_id", "key"], "left")
     ok = F.coalesce(F.col("occ") <= F.col("n"), F.lit(False))
-    text, head, link = F.col("x.text"), F.col("x.head"), F.col("x.link")
+    text, head, link = F.col("text"), F.col("head"), F.col("link")
     message = (
         F.when(ok, "Bold phrase matches the approved document.")
         .when(
@@ -472,6 +483,10 @@ def bold_results(pairs: DataFrame) -> DataFrame:
     return checked.unionByName(extras)
 
 
+def bold_results(pairs: DataFrame) -> DataFrame:
+    return match_bolds(*bold_items(pairs))
+
+
 def compare_content(pairs: DataFrame) -> DataFrame:
     """All content checks of every pair, in one result table."""
     parts = [
