@@ -39,7 +39,7 @@ l1 as (select page_id, headline, unnest(parts) as line, generate_subscripts(part
 l2 as (select page_id, headline, n, {LINE_TEXT} as text from l1),
 kept as (select * from l2 where text <> '' and not regexp_matches(text, '{DIV}') and not regexp_matches(text, '{LABEL}')),
 joined as (select page_id, case when page_id % 2 = 0 then n else 0 end as grp, string_agg(text, ' ' order by n) as text from kept group by 1, 2),
-extra as (select page_id, 1000000 as grp, 'An answer with bold words and a link' as text from drafts union all select page_id, 1000001, 'First item' from drafts union all select page_id, 1000002, 'Second item' from drafts),
+extra as (select page_id, -1 as grp, 'Slug &ndash; x' as text from drafts union all select page_id, 1000000, 'An answer with bold words and a link' from drafts union all select page_id, 1000001, 'First item' from drafts union all select page_id, 1000002, 'Second item' from drafts),
 paras as (select page_id, grp, text from joined union all select * from extra),
 num as (select page_id, text, row_number() over (partition by page_id order by grp) as rn from paras)"""
 # Without a labelled or real title the first heading or first paragraph names it.
@@ -62,10 +62,8 @@ union all select page_id, 'h2', 0, 'Questions' from drafts union all select page
 def brief_items(db: Tables):
     c = B.brief_content(db.sql(I.BRIEFS))
     kinds = {"p": "paragraphs", "h2": "h2", "h3": "h3", "h4": "h4"}
-    tagged = [
-        F.transform(F.col(column), lambda x, i, kind=kind: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("pos"), x.alias("text")))
-        for kind, column in kinds.items()
-    ]
+    tag = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("pos"), x.alias("text"))
+    tagged = [F.transform(F.col(column), tag(kind)) for kind, column in kinds.items()]
     return c.select("doc_id", F.explode(F.concat(*tagged)).alias("i")).select("doc_id", "i.kind", "i.pos", "i.text")
 
 
@@ -105,7 +103,7 @@ select pair_id, url, 'Meta Title' as check_type, case c when 'none' then 'skippe
     when 'suffix' then 'Meta Title matches the approved document (a trailing site-name suffix was ignored).'
     else 'Meta Title has changed. Expected "' || ne || '" but found "' || na || '".' end as message from c""")
 def content_single_value(db: Tables):
-    out = K.single_value(db.sql(VALUES), "Meta Title", "meta_title", "Meta title is missing from the live page.", True)
+    out = K.value_rows(db.sql(VALUES), [K.single_value("Meta Title", "meta_title", "Meta title is missing from the live page.", True)])
     return out.select("pair_id", "url", "check_type", "status", "expected", "actual", "message")
 
 
@@ -114,7 +112,7 @@ select pair_id, url, 'Canonical URL' as check_type, case when a_canonical is nul
   case when a_canonical is null then 'Canonical URL is missing from the live page.' when want <> have then 'Canonical URL does not match. Expected it to point to "' || shown || '" but found "' || a_canonical || '".'
     else 'Canonical URL matches the expected target.' end as message from k""")
 def canonical_check(db: Tables):
-    return K.canonical_check(db.sql(VALUES)).select("pair_id", "url", "check_type", "status", "expected", "actual", "message")
+    return K.value_rows(db.sql(VALUES), [K.canonical_check()]).select("pair_id", "url", "check_type", "status", "expected", "actual", "message")
 
 
 @query(f"""with v as ({duck(VALUES)}), k as (select *, trim(lower(trim(coalesce(e_slug, ''))), '/') as want, trim(lower({d.enc("regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)")}), '/') as path from v)
@@ -122,13 +120,13 @@ select pair_id, url, 'Blog URL / Slug' as check_type, case when want = '' then '
   case when want <> '' then path end as actual, case when want = '' then 'No expected URL/slug was specified in the approved document.' when ends_with(path, want) then 'Live URL matches the expected slug/structure.'
     else 'The live URL does not match the expected slug. Expected "' || e_slug || '" but the live URL path is "' || path || '".' end as message from k""")
 def slug_check(db: Tables):
-    return K.slug_check(db.sql(VALUES)).select("pair_id", "url", "check_type", "status", "expected", "actual", "message")
+    return K.value_rows(db.sql(VALUES), [K.slug_check()]).select("pair_id", "url", "check_type", "status", "expected", "actual", "message")
 
 
 @query(f"""with v as ({duck(VALUES)}) select pair_id, url, 'H1 Tag Count' as check_type, case a_h1_count when 0 then 'skipped' when 1 then 'passed' else 'failed' end as status,
   '1' as expected, cast(a_h1_count as varchar) as actual from v""")
 def h1_count_check(db: Tables):
-    return K.h1_count_check(db.sql(VALUES)).select("pair_id", "url", "check_type", "status", "expected", "actual")
+    return K.value_rows(db.sql(VALUES), [K.h1_count_check()]).select("pair_id", "url", "check_type", "status", "expected", "actual")
 
 
 # ---- paragraphs -------------------------------------------------------------
@@ -168,12 +166,12 @@ from e left join x on x.page_id = e.page_id and x.key = e.key left join best b o
 def paragraph_tiers(db: Tables):
     """Present (first equal position), changed (best similar) or missing."""
     p = paragraph_pairs(db)
-    items = K.aligned_items(p, "paragraphs", headings=False)
+    items = K.aligned_items(p, (K.PARAGRAPHS,))
     first = p.select("pair_id", F.posexplode(F.transform("e_paragraphs", lambda x: t.content_key(x))).alias("idx", "key"), "a_paragraphs").select(
         "pair_id", "idx", F.array_position(F.transform("a_paragraphs", lambda x: t.content_key(x)), F.col("key")).alias("at")
     )
     open_ = F.col("lcs").isNull() & F.col("exact").isNull()
-    sim = K.similar_items(p, items, "paragraphs", open_)
+    sim = K.similar_items(p, items, (K.PARAGRAPHS,)).drop("kind")
     return (
         items.join(first, ["pair_id", "idx"])
         .join(sim, ["pair_id", "idx"], "left")

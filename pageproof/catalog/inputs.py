@@ -168,7 +168,7 @@ def escaped(x: str) -> str:
 BRIEFS = f"""
 select page_id as doc_id, url,
   case page_id % 5 when 0 then '<h3>' || {escaped('headline')} || ' - H3</h3>' else '' end ||
-  '<p>' || chr(8203) || '<strong>Meta Title:</strong> ' || {escaped('headline')} || '<br/>Slug &ndash; x</p>' ||
+  '<p>{chr(8203)}<strong>Meta Title:</strong> ' || {escaped('headline')} || '<br/>Slug &ndash; x</p>' ||
   '<p>SEO Slug: page-' || page_id || ' Focus Keyword: anything</p>' ||
   case page_id % 3 when 0 then '<table><tr><th>Meta Description</th><td>About <b>page</b> ' || page_id || '</td></tr><tr><td>Other</td><td>x</td></tr></table>'
     when 1 then '<p>Met Description:<br>About page ' || page_id || '</p>' else '<p>Description &#8211;</p>' end ||

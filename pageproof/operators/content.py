@@ -52,12 +52,12 @@ def pair_content(expected: DataFrame, actual: DataFrame, on: str = "url") -> Dat
     return left.join(right, on)
 
 
-def _row(df: DataFrame, family: str, seq, check_type, status, expected, actual, message, diff=None) -> DataFrame:
+def _row(df: DataFrame, family, seq, check_type, status, expected, actual, message, diff=None) -> DataFrame:
     as_col = lambda c: c if isinstance(c, Column) else F.lit(c)
     return df.select(
         "pair_id",
         "url",
-        F.lit(family).alias("family"),
+        as_col(family).alias("family"),
         as_col(seq).cast("int").alias("seq"),
         as_col(check_type).alias("check_type"),
         as_col(status).alias("status"),
@@ -68,34 +68,59 @@ def _row(df: DataFrame, family: str, seq, check_type, status, expected, actual,
     )
 
 
-def single_value(pairs: DataFrame, name: str, column: str, missing: str, site_suffix: bool = False, seq: int = 0) -> DataFrame:
-    """Missing, equal, equal but for a site-name suffix, or changed."""
-    e, a = F.col(f"e_{column}"), F.col(f"a_{column}")
-    step = pairs.withColumns({"_e": t.normalize_text(e), "_a": t.normalize_text(a), "_ek": t.content_key(e), "_ak": t.content_key(a)})
-    suffix = t.has_site_suffix("_ek", "_ak") & F.lit(site_suffix)
-    step = step.withColumn(
-        "_case",
-        F.when(F.col("_e") == "", "none")
-        .when(F.col("_a") == "", "missing")
-        .when(F.col("_ek") == F.col("_ak"), "same")
-        .when(suffix, "suffix")
-        .otherwise("changed"),
+def _value(name: str, seq: int, status, expected, actual, message, diff_e=None, diff_a=None) -> Column:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return F.struct(
+        F.lit(seq).alias("seq"),
+        F.lit(name).alias("check_type"),
+        status.alias("status"),
+        text(expected).alias("expected"),
+        text(actual).alias("actual"),
+        message.alias("message"),
+        text(diff_e).alias("diff_e"),
+        text(diff_a).alias("diff_a"),
     )
-    case = F.col("_case")
-    changed = case == "changed"
-    message = (
-        F.when(case == "none", "No expected value provided in the document.")
-        .when(case == "missing", missing)
-        .when(case == "same", f"{name} matches the approved document.")
-        .when(case == "suffix", f"{name} matches the approved document (a trailing site-name suffix was ignored).")
-        .otherwise(F.concat(F.lit(f'{name} has changed. Expected "'), "_e", F.lit('" but found "'), "_a", F.lit('".')))
+
+
+def value_rows(pairs: DataFrame, values: list[Column]) -> DataFrame:
+    """Results of single-value checks: all are columns of one pass over the
+    pairs, unfolded afterwards; only changed values carry texts to diff."""
+    rows = pairs.select("pair_id", "url", F.explode(F.array(*values)).alias("v")).select("pair_id", "url", "v.*")
+    return _row(
+        rows, "value", F.col("seq"), F.col("check_type"), F.col("status"), F.col("expected"), F.col("actual"),
+        F.col("message"), diff_words("diff_e", "diff_a"),
     )
-    status = F.when(case == "none", "skipped").when(case.isin("same", "suffix"), "passed").otherwise("failed")
-    diff = diff_words(F.when(changed, t.content_display(e)), F.when(changed, t.content_display(a)))
-    return _row(step, "value", seq, name, status, e, a, message, diff)
 
 
-def h1_count_check(pairs: DataFrame) -> DataFrame:
+def single_value(name: str, column: str, missing: str, site_suffix: bool = False, seq: int = 0) -> Column:
+    """Missing, equal, equal but for a site-name suffix, or changed."""
+    e, a = F.col(f"e_{column}"), F.col(f"a_{column}")
+    keys = F.struct(
+        t.normalize_text(e).alias("e"), t.normalize_text(a).alias("a"),
+        t.content_key(e).alias("ek"), t.content_key(a).alias("ak"),
+    )
+
+    def judge(k: Column) -> Column:
+        none, gone, same = k["e"] == "", k["a"] == "", k["ek"] == k["ak"]
+        suffix = t.has_site_suffix(k["ek"], k["ak"]) & F.lit(site_suffix)
+        changed = ~none & ~gone & ~same & ~suffix
+        message = (
+            F.when(none, "No expected value provided in the document.")
+            .when(gone, missing)
+            .when(same, f"{name} matches the approved document.")
+            .when(suffix, f"{name} matches the approved document (a trailing site-name suffix was ignored).")
+            .otherwise(
+                F.concat(F.lit(f'{name} has changed. Expected "'), k["e"], F.lit('" but found "'), k["a"], F.lit('".'))
+            )
+        )
+        status = F.when(none, "skipped").when(gone | changed, "failed").otherwise("passed")
+        texts = [F.when(changed, t.content_display(c)) for c in (e, a)]
+        return _value(name, seq, status, e, a, message, *texts)
+
+    return t.let(keys, judge)
+
+
+def h1_count_check() -> Column:
     n = F.col("a_h1_count")
     none = n.isNull() | (n == 0)
     message = (
@@ -114,202 +139,204 @@ def h1_count_check(pairs: DataFrame) -> DataFrame:
         )
     )
     status = F.when(none, "skipped").when(n == 1, "passed").otherwise("failed")
-    return _row(pairs, "value", 3, "H1 Tag Count", status, "1", n, message)
+    return _value("H1 Tag Count", 3, status, F.lit("1"), n, message)
 
 
-def canonical_check(pairs: DataFrame) -> DataFrame:
+def canonical_check() -> Column:
     """The page's canonical must be the brief's override, else the page."""
+    have = F.nullif("a_canonical", F.lit(""))
     shown = F.coalesce("e_canonical", "url")
-    step = pairs.withColumns(
-        {"_want": u.normalize_url(shown, F.col("url")), "_have": u.normalize_url("a_canonical", "url"), "_shown": shown}
-    )
-    missing = F.coalesce("a_canonical", F.lit("")) == ""
-    differs = ~missing & (F.col("_want") != F.col("_have"))
-    message = (
-        F.when(missing, "Canonical URL is missing from the live page.")
-        .when(
-            differs,
-            F.concat(
-                F.lit('Canonical URL does not match. Expected it to point to "'),
-                "_shown",
-                F.lit('" but found "'),
-                "a_canonical",
-                F.lit('".'),
-            ),
-        )
-        .otherwise("Canonical URL matches the expected target.")
-    )
-    diff = diff_words(F.when(differs, F.col("_shown")), F.when(differs, F.col("a_canonical")))
-    status = F.when(missing | differs, "failed").otherwise("passed")
-    return _row(step, "value", 4, "Canonical URL", status, F.col("_shown"), F.nullif("a_canonical", F.lit("")), message, diff)
-
 
-def slug_check(pairs: DataFrame) -> DataFrame:
-    step = pairs.withColumns(
-        {"_want": t.slug_segment(F.coalesce("e_slug", F.lit(""))), "_path": t.slug_segment(u.url_path("url"))}
-    )
-    none = F.col("_want") == ""
-    hit = F.col("_path").endswith(F.col("_want"))
-    bad = ~none & ~hit
-    message = (
-        F.when(none, "No expected URL/slug was specified in the approved document.")
-        .when(hit, "Live URL matches the expected slug/structure.")
-        .otherwise(
-            F.concat(
-                F.lit('The live URL does not match the expected slug. Expected "'),
-                "e_slug",
-                F.lit('" but the live URL path is "'),
-                "_path",
-                F.lit('".'),
+    def judge(k: Column) -> Column:
+        differs = have.isNotNull() & (k["want"] != k["have"])
+        message = (
+            F.when(have.isNull(), "Canonical URL is missing from the live page.")
+            .when(
+                differs,
+                F.concat(
+                    F.lit('Canonical URL does not match. Expected it to point to "'), shown,
+                    F.lit('" but found "'), have, F.lit('".'),
+                ),
             )
+            .otherwise("Canonical URL matches the expected target.")
         )
-    )
-    status = F.when(none, "skipped").when(hit, "passed").otherwise("failed")
-    diff = diff_words(F.when(bad, F.col("e_slug")), F.when(bad, F.col("_path")))
-    return _row(step, "value", 5, "Blog URL / Slug", status, F.col("e_slug"), F.when(~none, F.col("_path")), message, diff)
+        status = F.when(have.isNull() | differs, "failed").otherwise("passed")
+        return _value("Canonical URL", 4, status, shown, have, message, F.when(differs, shown), F.when(differs, have))
+
+    targets = F.struct(u.normalize_url(shown, F.col("url")).alias("want"), u.normalize_url(have, F.col("url")).alias("have"))
+    return t.let(targets, judge)
+
+
+def slug_check() -> Column:
+    e = F.col("e_slug")
+
+    def judge(k: Column) -> Column:
+        none, hit = k["want"] == "", k["path"].endswith(k["want"])
+        bad = ~none & ~hit
+        message = (
+            F.when(none, "No expected URL/slug was specified in the approved document.")
+            .when(hit, "Live URL matches the expected slug/structure.")
+            .otherwise(
+                F.concat(
+                    F.lit('The live URL does not match the expected slug. Expected "'), e,
+                    F.lit('" but the live URL path is "'), k["path"], F.lit('".'),
+                )
+            )
+        )
+        status = F.when(none, "skipped").when(hit, "passed").otherwise("failed")
+        shown = F.when(~none, k["path"])
+        return _value("Blog URL / Slug", 5, status, e, shown, message, F.when(bad, e), F.when(bad, k["path"]))
+
+    parts = F.struct(t.slug_segment(F.coalesce(e, F.lit(""))).alias("want"), t.slug_segment(u.url_path("url")).alias("path"))
+    return t.let(parts, judge)
+
+
+@t.by_name
+def standard_values() -> list[Column]:
+    """The six single-value checks of a content comparison."""
+    return [
+        single_value("Meta Title", "meta_title", "Meta title is missing from the live page.", True, 0),
+        single_value("Meta Description", "meta_description", "Meta description is missing from the live page.", seq=1),
+        single_value("Blog Title (H1)", "title", "H1 is missing from the live page.", seq=2),
+        h1_count_check(),
+        canonical_check(),
+        slug_check(),
+    ]
+
 
+HEADINGS = ("h2", "h3", "h4")
+PARAGRAPHS = "paragraphs"
 
+
+@t.by_name
 def _keys(column: str) -> Column:
     return F.transform(column, lambda x: t.content_key(x))
 
 
-def aligned_items(pairs: DataFrame, column: str, headings: bool) -> DataFrame:
-    """One row per expected item with the in-row answers: ``lcs`` (partner in
-    order), ``exact`` (first equal), and for headings ``inside`` (first that
-    contains or is contained), ``elsewhere`` and ``as_bold``."""
-    e, a = f"e_{column}", f"a_{column}"
-    step = pairs.withColumns({"_ek": _keys(e), "_ak": _keys(a)}).withColumn("_lcs", lcs_align("_ek", "_ak"))
-    extra: dict = {}
-    if headings:
-        every = F.concat(F.filter(F.array("a_title"), lambda x: x.isNotNull()), "a_h2", "a_h3", "a_h4")
-        step = step.withColumns({"_all": F.transform(every, lambda x: t.content_key(x)), "_bold": _keys("a_bolds")})
-        step = step.withColumn(
-            "_more",
-            F.transform(
-                "_ek",
-                lambda k, i: F.when(
-                    F.get("_lcs", i).isNull(),
-                    F.struct(
-                        F.array_min(
-                            F.filter(
-                                F.transform(
-                                    "_ak", lambda c, j: F.when(t.heading_contained(k, c), j)
-                                ),
-                                lambda j: j.isNotNull(),
-                            )
-                        ).alias("inside"),
-                        F.array_contains("_all", k).alias("elsewhere"),
-                        F.array_contains("_bold", k).alias("as_bold"),
-                    ),
-                ),
-            ),
-        )
-        extra = {"inside": "inside", "elsewhere": "elsewhere", "as_bold": "as_bold"}
-    item = F.transform(
-        "_ek",
+@t.by_name
+def _item_columns(kind: str) -> list:
+    """In-row answers for one list: ``lcs`` (partner in order), ``exact``
+    (first equal) and, for headings, ``inside`` (first that contains or is
+    contained), ``elsewhere`` (any level) and ``as_bold``; each is only looked
+    for where the one before failed."""
+    ek, ak = F.col(f"_ek_{kind}"), F.col(f"_ak_{kind}")
+    lcs, place = F.col(f"_lcs_{kind}"), f"_at_{kind}"
+    spot = F.transform(
+        ek,
         lambda k, i: F.struct(
-            k.alias("key"),
-            F.get(e, i).alias("text"),
-            F.get("_lcs", i).alias("lcs"),
-            F.when(F.get("_lcs", i).isNull(), F.nullif(F.array_position("_ak", k).cast("int"), F.lit(0)) - 1).alias("exact"),
-            *[F.get("_more", i)[f].alias(n) for n, f in extra.items()],
+            F.get(lcs, i).alias("lcs"),
+            F.when(F.get(lcs, i).isNull(), F.nullif(F.array_position(ak, k).cast("int"), F.lit(0)) - 1).alias("exact"),
         ),
     )
-    text_of = lambda idx: F.get(a, idx)
-    out = step.select("pair_id", "url", a, F.posexplode(item).alias("idx", "it"))
-    cols = ["key", "text", "lcs", "exact", *extra]
-    near = F.coalesce(F.col("it.lcs"), F.col("it.exact"), *([F.col("it.inside")] if headings else []))
-    return out.select("pair_id", "url", "idx", *[F.col(f"it.{c}").alias(c) for c in cols], text_of(near).alias("found"))
-
-
-def similar_items(pairs: DataFrame, items: DataFrame, column: str, open_items: Column) -> DataFrame:
-    """Best similar published item for the rows of ``items`` still open."""
-    e = items.where(open_items).select("pair_id", F.col("idx").alias("e_id"), F.col("key").alias("e_key"))
-    a = pairs.select("pair_id", F.posexplode(f"a_{column}").alias("a_id", "a_text")).withColumn(
-        "a_key", t.content_key("a_text")
-    )
-    best = best_similar(e, a.select("pair_id", "a_id", "a_key"), ["pair_id"])
-    return (
-        best.join(a.select("pair_id", "a_id", "a_text"), ["pair_id", "a_id"])
-        .select("pair_id", F.col("e_id").alias("idx"), F.col("a_id").alias("sim"), F.col("a_text").alias("sim_text"))
-    )
+    none, no = F.lit(None).cast("int"), F.lit(None).cast("boolean")
 
+    def wrapped(k: Column) -> Column:
+        hits = F.transform(ak, lambda c, j: F.when(t.heading_contained(k, c), j))
+        return F.array_min(F.filter(hits, lambda j: j.isNotNull()))
 
-def _n(c) -> Column:
-    return (F.col(c) + 1).cast("string")
+    def item(k: Column, i: Column) -> Column:
+        at = F.get(place, i)
+        unplaced = at["lcs"].isNull() & at["exact"].isNull()
+        heading = kind in HEADINGS
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            i.alias("idx"),
+            k.alias("key"),
+            F.get(f"e_{kind}", i).alias("text"),
+            at["lcs"].alias("lcs"),
+            at["exact"].alias("exact"),
+            (F.when(unplaced, wrapped(k)) if heading else none).alias("inside"),
+            (F.when(unplaced, F.array_contains("_all", k)) if heading else no).alias("elsewhere"),
+            (F.when(unplaced, F.array_contains("_bold", k)) if heading else no).alias("as_bold"),
+        )
 
+    return [{place: spot}, {f"_items_{kind}": F.transform(ek, item)}]
 
-def _changed_or_missing(step: DataFrame, open_: Column, subject: str, missing: Column) -> DataFrame:
-    changed = open_ & F.col("sim").isNotNull()
-    step = step.withColumn(
-        "diff",
-        diff_words(
-            F.when(changed, t.content_display("text")), F.when(changed, t.content_display("sim_text"))
-        ),
+
+def aligned_items(pairs: DataFrame, kinds=(*HEADINGS, PARAGRAPHS)) -> DataFrame:
+    """One row per expected item of the given lists, see ``_item_columns``.
+    All lists of a page are aligned in one Arrow call per batch."""
+    step = pairs.withColumns({f"_{s}k_{k}": _keys(f"{s}_{k}") for k in kinds for s in ("e", "a")})
+    if any(k in HEADINGS for k in kinds):
+        every = F.concat(F.filter(F.array("a_title"), lambda x: x.isNotNull()), "a_h2", "a_h3", "a_h4")
+        step = step.withColumns({"_all": F.transform(every, lambda x: t.content_key(x)), "_bold": _keys("a_bolds")})
+    step = step.withColumns({f"_lcs_{k}": lcs_align(f"_ek_{k}", f"_ak_{k}") for k in kinds})
+    for k in kinds:
+        for columns in _item_columns(k):
+            step = step.withColumns(columns)
+    found = lambda k: F.transform(
+        f"_items_{k}", lambda x: F.struct(x.alias("it"), F.get(f"a_{k}", F.coalesce(x["lcs"], x["exact"], x["inside"])).alias("found"))
     )
-    return step.withColumn("_fail", F.when(changed, diff_summary("diff", subject)).otherwise(missing))
+    rows = step.select("pair_id", "url", F.explode(F.concat(*[found(k) for k in kinds])).alias("r"))
+    return rows.select("pair_id", "url", "r.it.*", "r.found")
 
 
-def paragraph_results(pairs: DataFrame) -> DataFrame:
-    """In order, moved, changed (with diff) or missing."""
-    items = aligned_items(pairs, "paragraphs", headings=False)
-    open_ = F.col("lcs").isNull() & F.col("exact").isNull()
-    step = items.join(similar_items(pairs, items, "paragraphs", open_), ["pair_id", "idx"], "left")
-    step = _changed_or_missing(step, open_, "Paragraph text", F.lit("Paragraph is missing from the live page."))
-    moved = F.concat(
-        F.lit("Paragraph is unchanged but has moved (expected around position "),
-        _n("idx"),
-        F.lit(", found at position "),
-        _n("exact"),
-        F.lit(")."),
-    )
-    message = (
-        F.when(F.col("lcs").isNotNull(), "Paragraph matches the approved document.")
-        .when(F.col("exact").isNotNull(), moved)
-        .otherwise(F.col("_fail"))
+def open_items() -> Column:
+    """No exact rule explains the item."""
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    return (
+        F.col("lcs").isNull() & F.col("exact").isNull() & F.col("inside").isNull() & no("elsewhere") & no("as_bold")
     )
-    status = F.when(F.col("lcs").isNotNull(), "passed").when(F.col("exact").isNotNull(), "warning").otherwise("failed")
-    return _row(
-        step, "paragraph", F.col("idx"), F.concat(F.lit('"'), t.preview10("text"), F.lit('"')), status, F.col("text"),
-        F.coalesce("found", "sim_text"), message, F.col("diff"),
+
+
+def similar_items(pairs: DataFrame, items: DataFrame, kinds=(*HEADINGS, PARAGRAPHS)) -> DataFrame:
+    """Best similar published item for the items still open."""
+    e = items.where(open_items()).select("pair_id", "kind", F.col("idx").alias("e_id"), F.col("key").alias("e_key"))
+    tagged = [F.transform(f"a_{k}", _tag(k)) for k in kinds]
+    a = pairs.select("pair_id", F.explode(F.concat(*tagged)).alias("r")).select("pair_id", "r.*")
+    a = a.withColumn("a_key", t.content_key("a_text"))
+    best = best_similar(e, a.select("pair_id", "kind", "a_id", "a_key"), ["pair_id", "kind"])
+    texts = a.select("pair_id", "kind", "a_id", "a_text")
+    return best.join(texts, ["pair_id", "kind", "a_id"]).select(
+        "pair_id", "kind", F.col("e_id").alias("idx"), F.col("a_id").alias("sim"), F.col("a_text").alias("sim_text")
     )
 
 
-def heading_results(pairs: DataFrame, level: int) -> DataFrame:
-    """Tiers in order: aligned, out of order, wrapped, other level, bold,
-    changed (with diff), missing."""
-    label = f"H{level}"
-    items = aligned_items(pairs, f"h{level}", headings=True)
-    open_ = (
-        F.col("lcs").isNull()
-        & F.col("exact").isNull()
-        & F.col("inside").isNull()
-        & ~F.coalesce("elsewhere", F.lit(False))
-        & ~F.coalesce("as_bold", F.lit(False))
+def _tag(kind: str):
+    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("a_id"), x.alias("a_text"))
+
+
+def _n(c) -> Column:
+    return (F.col(c) + 1).cast("string")
+
+
+def item_results(pairs: DataFrame, kinds=(*HEADINGS, PARAGRAPHS)) -> DataFrame:
+    """Headings and paragraphs by tier: aligned, elsewhere in the list,
+    (headings) wrapped, at another level, as bold text, then changed with a
+    word diff, or missing."""
+    items = aligned_items(pairs, kinds)
+    step = items.join(similar_items(pairs, items, kinds), ["pair_id", "kind", "idx"], "left")
+    changed = open_items() & F.col("sim").isNotNull()
+    step = step.withColumn(
+        "diff", diff_words(F.when(changed, t.content_display("text")), F.when(changed, t.content_display("sim_text")))
     )
-    step = items.join(similar_items(pairs, items, f"h{level}", open_), ["pair_id", "idx"], "left")
-    name = F.concat(F.lit(f'{label} heading "'), "text", F.lit('"'))
-    missing = F.concat(name, F.lit(" is missing from the live page."))
-    step = _changed_or_missing(step, open_, f"{label} heading", missing)
+    para = F.col("kind") == PARAGRAPHS
+    label = F.upper("kind")
+    named = F.concat(label, F.lit(' heading "'), "text", F.lit('"'))
+    at = F.concat(F.lit(" (expected around position "), _n("idx"), F.lit(", found at position "), _n("exact"), F.lit(")."))
     aligned, exact, inside = (F.col(c).isNotNull() for c in ("lcs", "exact", "inside"))
-    elsewhere, bold = F.col("elsewhere"), F.col("as_bold")
+    elsewhere, bold = F.coalesce("elsewhere", F.lit(False)), F.coalesce("as_bold", F.lit(False))
+    subject = F.when(para, "Paragraph text").otherwise(F.concat(label, F.lit(" heading")))
     message = (
-        F.when(aligned, f"{label} heading matches the approved document.")
+        F.when(
+            aligned,
+            F.when(para, "Paragraph matches the approved document.").otherwise(
+                F.concat(label, F.lit(" heading matches the approved document."))
+            ),
+        )
         .when(
             exact,
             F.concat(
-                name,
-                F.lit(" is present but out of order (expected around position "),
-                _n("idx"),
-                F.lit(", found at position "),
-                _n("exact"),
-                F.lit(")."),
+                F.when(para, "Paragraph is unchanged but has moved").otherwise(
+                    F.concat(named, F.lit(" is present but out of order"))
+                ),
+                at,
             ),
         )
         .when(
             inside,
             F.concat(
-                name,
+                named,
                 F.lit(
                     " was found on the live page wrapped in additional markup (e.g. an accordion/FAQ widget)"
                     ' — found "'
@@ -321,28 +348,36 @@ def heading_results(pairs: DataFrame, level: int) -> DataFrame:
         .when(
             elsewhere,
             F.concat(
-                name,
-                F.lit(
-                    f" was not found as an {label} tag specifically, but is present as a heading at a different level"
-                    " on the live page."
-                ),
+                named, F.lit(" was not found as an "), label,
+                F.lit(" tag specifically, but is present as a heading at a different level on the live page."),
             ),
         )
         .when(
             bold,
             F.concat(
-                name,
+                named,
                 F.lit(" was not found as a heading tag on the live page, but is present as bold-styled text."),
             ),
         )
-        .otherwise(F.col("_fail"))
+        .when(F.col("sim").isNotNull(), diff_summary("diff", subject))
+        .when(para, "Paragraph is missing from the live page.")
+        .otherwise(F.concat(named, F.lit(" is missing from the live page.")))
     )
     status = F.when(aligned, "passed").when(exact | inside | elsewhere | bold, "warning").otherwise("failed")
-    actual = F.coalesce(F.col("found"), F.when(elsewhere | bold, F.col("text")), F.col("sim_text"))
-    return _row(
-        step, label.lower(), F.col("idx"), F.concat(F.lit(f"{label} #"), _n("idx")), status, F.col("text"), actual,
-        message, F.col("diff"),
+    check = F.when(para, F.concat(F.lit('"'), t.preview10("text"), F.lit('"'))).otherwise(
+        F.concat(label, F.lit(" #"), _n("idx"))
     )
+    actual = F.coalesce(F.col("found"), F.when(elsewhere | bold, F.col("text")), F.col("sim_text"))
+    family = F.when(para, "paragraph").otherwise(F.col("kind"))
+    return _row(step, family, F.col("idx"), check, status, F.col("text"), actual, message, F.col("diff"))
+
+
+def paragraph_results(pairs: DataFrame) -> DataFrame:
+    return item_results(pairs, (PARAGRAPHS,))
+
+
+def heading_results(pairs: DataFrame, level: int) -> DataFrame:
+    return item_results(pairs, (f"h{level}",))
 
 
 def link_items(pairs: DataFrame, side: str) -> DataFrame:
@@ -488,20 +523,11 @@ def bold_results(pairs: DataFrame) -> DataFrame:
 
 
 def compare_content(pairs: DataFrame) -> DataFrame:
-    """All content checks of every pair, in one result table."""
-    parts = [
-        single_value(pairs, "Meta Title", "meta_title", "Meta title is missing from the live page.", True, 0),
-        single_value(pairs, "Meta Description", "meta_description", "Meta description is missing from the live page.", seq=1),
-        single_value(pairs, "Blog Title (H1)", "title", "H1 is missing from the live page.", seq=2),
-        h1_count_check(pairs),
-        canonical_check(pairs),
-        slug_check(pairs),
-        *[heading_results(pairs, n) for n in (2, 3, 4)],
-        paragraph_results(pairs),
-        link_results(pairs),
-        bold_results(pairs),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All content checks of every pair, in one result table. The pairs are
+    read once per group of checks; callers materialise them first."""
+    return (
+        value_rows(pairs, standard_values())
+        .unionByName(item_results(pairs))
+        .unionByName(link_results(pairs))
+        .unionByName(bold_results(pairs))
+    )

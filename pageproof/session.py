@@ -41,19 +41,24 @@ def local_session(cores: str | int = "*", app: str = "pageproof", **conf: str) -
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def materialized(df: DataFrame) -> DataFrame:
+    """The frame as a reliable checkpoint, so that later passes read results
+    instead of repeating the work, and a lost executor costs no recomputation.
 
-    The folder comes from ``spark.checkpoint.dir``; ``fallback_dir`` is only
-    used where the session has none (tests). Without either the frame is
-    returned unchanged, so losing an executor just recomputes.
+    The shared folder comes from ``spark.checkpoint.dir``. Where the session
+    names none, a local session gets a temporary folder; on a cluster the frame
+    is then only persisted, which survives losses by recomputing.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    if not shared:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if shared:
+            context.setCheckpointDir(shared)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        else:
+            return df.persist()
     return df.checkpoint(eager=True)
 
 
