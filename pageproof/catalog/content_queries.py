@@ -15,6 +15,7 @@ from pageproof.operators import html as H
 from pageproof.operators import rollups as R
 from pageproof.operators.similar import best_similar, similar_across_corpus
 from pageproof.plans import audits
+from pageproof.session import materialized
 
 BRIEFS = f"briefs as ({duck(I.BRIEFS)})"
 DRAFTS = f"drafts as ({duck(I.DRAFTS)})"
@@ -137,7 +138,7 @@ def paragraph_pairs(db: Tables):
         "page_id", F.filter(F.transform(F.split("draft", "\n"), lambda x: t.normalize_text(x)), lambda x: x != "").alias("e_paragraphs")
     )
     actual = H.with_body(db.pages).select("page_id", "url", H.paragraph_units().alias("a_paragraphs"))
-    return expected.join(actual, "page_id").withColumnRenamed("page_id", "pair_id")
+    return materialized(expected.join(actual, "page_id").withColumnRenamed("page_id", "pair_id"))
 
 
 SIDES = f"""{DRAFTS}, e0 as (select page_id, unnest(string_split(draft, chr(10))) as line, generate_subscripts(string_split(draft, chr(10)), 1) as n from drafts),
@@ -277,7 +278,7 @@ left join best on best.doc_id = e.doc_id and best.e_id = e.idx""")
 def heading_tiers(db: Tables):
     expected = B.brief_content(db.sql(I.HEADING_BRIEFS).withColumn("html", F.concat(F.lit("<h1>Lead</h1>"), "html")))
     pages = db.sql(I.HEADED)
-    pairs = K.pair_content(expected, K.published_content(pages))
+    pairs = materialized(K.pair_content(expected, K.published_content(pages)))
     out = K.heading_results(pairs, 2)
     m = F.col("message")
     tier = (
