@@ -62,66 +62,66 @@ def first_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str =
 class BatchProgress(StatefulProcessor):
     """Progress of a batch. Events: created (value = item count), running,
     done, error, aborted. Totals move only on the first settlement of an item;
-    two hours after finishing the state is dropped and late events ignored."""
+    two hours after its last event a finished batch is dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "total bigint, closed boolean")
-        self.items = handle.getMapState("items", "idx int", "status string, filename string")
+        self.totals = handle.getValueState("totals", "total bigint, settled bigint, errored bigint, closed boolean")
+        self.settled = handle.getMapState("settled", "idx int", "status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        if not self.total.exists() and not (events["status"] == "created").any():
-            return
+        state = list(self.totals.get()) if self.totals.exists() else None
         current = None
         for e in events.itertuples(index=False):
-            known = self.total.get() if self.total.exists() else None
             if e.status == "created":
-                if known is None:
-                    self.total.update((int(e.value), False))
-            elif known is None or known[1]:
+                state = state or [int(e.value), 0, 0, False]
+            elif state is None or state[3]:
                 continue
             elif e.status == "aborted":
-                self.total.update((known[0], True))
-            else:
-                old = self.items.getValue((int(e.idx),)) if self.items.containsKey((int(e.idx),)) else None
-                if old is None or old[0] not in ("done", "error"):
-                    self.items.updateValue((int(e.idx),), (e.status, e.filename))
-                    current = e.filename if e.status == "running" else current
-        if not self.total.exists():
+                # Whatever has not settled counts as failed.
+                state = [state[0], state[0], state[2] + state[0] - state[1], True]
+            elif e.status == "running":
+                current = e.filename
+            elif not self.settled.containsKey((int(e.idx),)):
+                self.settled.updateValue((int(e.idx),), (e.status,))
+                state[1] += 1
+                state[2] += e.status == "error"
+                state[3] = state[1] >= state[0]
+        if state is None:
             return
-        total, aborted = self.total.get()
-        states = [v[0] for _, v in self.items.iterator()]
-        settled = sum(s in ("done", "error") for s in states)
-        errored = sum(s == "error" for s in states) + (total - settled if aborted else 0)
-        finished = aborted or settled >= total
-        if finished:
-            self.total.update((total, True))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + RETENTION_MS)
+        self.totals.update(tuple(state))
+        if state[3]:
+            self.handle.registerTimer(int(events["ts"].max().timestamp() * 1000) + RETENTION_MS)
         yield pd.DataFrame(
             {
                 "batch_id": [key[0]],
-                "total": [total],
-                "completed": [total if aborted else settled],
-                "errored": [errored],
-                "current_filename": [None if finished else current],
-                "status": ["done" if finished else "running"],
+                "total": [state[0]],
+                "completed": [state[1]],
+                "errored": [state[2]],
+                "current_filename": [None if state[3] else current],
+                "status": ["done" if state[3] else "running"],
             }
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.total.clear()
-        self.items.clear()
+        self.totals.clear()
+        self.settled.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def batch_progress(events: DataFrame) -> DataFrame:
-    """events(batch_id, seq, ts, idx, filename, status, value)."""
-    return events.groupBy("batch_id").transformWithStateInPandas(
-        BatchProgress(), outputStructType=PROGRESS, outputMode="Update", timeMode="ProcessingTime"
+def batch_progress(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
+    """events(batch_id, seq, ts, idx, filename, status, value). Retention
+    follows event time, so a replay gives the same states."""
+    return (
+        events.withWatermark("ts", lateness)
+        .groupBy("batch_id")
+        .transformWithStateInPandas(
+            BatchProgress(), outputStructType=PROGRESS, outputMode="Update", timeMode="EventTime"
+        )
     )
 
 
