@@ -1,16 +1,16 @@
 """Sequence alignment and word diff: the one part that needs Python.
 
 Both run as Arrow-batched pandas UDFs on values that already sit in one row.
-The alignment table is filled a row at a time with numpy, keeping one bit per
-cell. Long inputs keep only every k-th table row and refill one band at a time
-while walking, so memory grows with m*sqrt(n) and no input is ever cut.
+A row of the alignment table is one integer whose bits say where the length
+grows, so a row costs a few word-parallel operations. Long inputs keep only
+every k-th row and refill one band at a time while walking: memory grows with
+m*sqrt(n) bits and no input is ever cut.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,67 +26,73 @@ DIFF_TYPE = T.ArrayType(
     )
 )
 
-_DIRECT_CELLS = 1 << 26  # below this the whole bit table is kept
+_DIRECT_CELLS = 1 << 29  # up to here (64 MB of bits) all rows are kept
 
 
-def _encode(a, b):
-    ids: dict = {}
-    code = lambda seq: np.fromiter((ids.setdefault(x, len(ids)) for x in seq), np.int64, len(seq))
-    return code(a), code(b)
+def _rows(a, masks, full, row, lo, hi):
+    """Rows hi-1 .. lo of the table from ``row`` (row hi), nearest first.
 
-
-def _fill(a, b, row, lo, hi, bits):
-    """Fill table rows hi-1 .. lo from ``row`` (row hi); returns row lo.
-
-    bits[i - lo, j] says that dropping a[i] loses nothing at column j.
+    Bit p of a row is set where the common length of a[i:] and the last p+1
+    elements of b exceeds that of the last p.
     """
-    m = len(b)
+    v = full & ~row
     for i in range(hi - 1, lo - 1, -1):
-        best = row.copy()
-        hit = np.flatnonzero(b == a[i])
-        best[hit] = row[hit + 1] + 1
-        new = np.maximum.accumulate(best[::-1])[::-1]
-        if bits is not None:
-            bits[i - lo] = np.packbits(new[:m] == row[:m])
-        row = new
-    return row
+        hit = v & masks[a[i]]
+        v = ((v + hit) | (v - hit)) & full
+        yield full & ~v
 
 
 def lcs_alignment(a, b) -> list:
     """Index in ``b`` per element of ``a`` on a longest common subsequence.
 
     On ties the walk drops the element of ``a`` first. Elements of ``a`` that
-    ``b`` lacks are always dropped by that rule, so they skip the table.
+    ``b`` lacks are always dropped by that rule, so they skip the table, and
+    equal beginnings are matched outright.
     """
     out: list = [None] * len(a)
-    present = set(b)
-    keep = [i for i, x in enumerate(a) if x in present]
-    if not keep:
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        out[head] = head
+        head += 1
+    m = len(b) - head
+    masks: dict = {}
+    for j in range(head, len(b)):
+        masks[b[j]] = masks.get(b[j], 0) | 1 << (len(b) - 1 - j)
+    keep = [i for i in range(head, len(a)) if a[i] in masks]
+    n = len(keep)
+    if not n:
         return out
-    ca, cb = _encode([a[i] for i in keep], b)
-    n, m = len(ca), len(cb)
+    seq, full = [a[i] for i in keep], (1 << m) - 1
     band = n if n * m <= _DIRECT_CELLS else max(64, int((32 * n) ** 0.5))
     starts = list(range(0, n, band))
-    below = {}
-    row = np.zeros(m + 1, np.int32)
+    below, row = {}, 0
     for lo in reversed(starts):
         below[lo] = row
         if lo:
-            row = _fill(ca, cb, row, lo, min(lo + band, n), None)
+            for row in _rows(seq, masks, full, row, lo, min(lo + band, n)):
+                pass
     j = 0
     for lo in starts:
         hi = min(lo + band, n)
-        bits = np.zeros((hi - lo, (m + 7) // 8), np.uint8)
-        _fill(ca, cb, below.pop(lo), lo, hi, bits)
+        kept = [below[lo], *_rows(seq, masks, full, below.pop(lo), lo, hi)]
+        kept.reverse()  # kept[k] is row lo + k
         i = lo
         while i < hi and j < m:
-            if ca[i] == cb[j]:
-                out[keep[i]] = j
-                i, j = i + 1, j + 1
-            elif bits[i - lo, j >> 3] >> (7 - (j & 7)) & 1:
-                i += 1
-            else:
+            here, after = kept[i - lo], kept[i - lo + 1]
+            tail = (1 << (m - j)) - 1
+            # Lengths from (i, j) and (i + 1, j), updated as j advances.
+            length, below_length = (here & tail).bit_count(), (after & tail).bit_count()
+            while j < m:
+                if seq[i] == b[head + j]:
+                    out[keep[i]] = head + j
+                    j += 1
+                    break
+                grows = here >> (m - 1 - j) & 1
+                if grows or below_length == length:
+                    break
+                below_length -= after >> (m - 1 - j) & 1
                 j += 1
+            i += 1
         if j >= m:
             break
     return out

@@ -231,8 +231,9 @@ def _item_columns(kind: str) -> list:
     none, no = F.lit(None).cast("int"), F.lit(None).cast("boolean")
 
     def wrapped(k: Column) -> Column:
-        hits = F.transform(ak, lambda c, j: F.when(t.heading_contained(k, c), j))
-        return F.array_min(F.filter(hits, lambda j: j.isNotNull()))
+        fits = lambda x: lambda c, j: F.when((F.length(c) >= 4) & (c.contains(x) | x.contains(c)), j)
+        hits = lambda x: F.array_min(F.filter(F.transform(f"_bare_{kind}", fits(x)), lambda j: j.isNotNull()))
+        return t.let(t.strip_decoration(k), lambda x: F.when(F.length(x) >= 4, hits(x)))
 
     def item(k: Column, i: Column) -> Column:
         at = F.get(place, i)
@@ -259,7 +260,8 @@ def aligned_items(pairs: DataFrame, kinds=(*HEADINGS, PARAGRAPHS)) -> DataFrame:
     step = pairs.withColumns({f"_{s}k_{k}": _keys(f"{s}_{k}") for k in kinds for s in ("e", "a")})
     if any(k in HEADINGS for k in kinds):
         every = F.concat(F.filter(F.array("a_title"), lambda x: x.isNotNull()), "a_h2", "a_h3", "a_h4")
-        step = step.withColumns({"_all": F.transform(every, lambda x: t.content_key(x)), "_bold": _keys("a_bolds")})
+        bare = {f"_bare_{k}": F.transform(f"_ak_{k}", t.strip_decoration) for k in kinds if k in HEADINGS}
+        step = step.withColumns({"_all": F.transform(every, lambda x: t.content_key(x)), "_bold": _keys("a_bolds"), **bare})
     step = step.withColumns({f"_lcs_{k}": lcs_align(f"_ek_{k}", f"_ak_{k}") for k in kinds})
     for k in kinds:
         for columns in _item_columns(k):

@@ -62,6 +62,13 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for markup parsing: a scan with fewer splits than the
+    session has cores is redistributed; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the executors' Python workers, once per context."""
     context = spark.sparkContext

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageproof.session import spread
+
 PAGES = "page_id bigint, url string, fetched_at timestamp, html string"
 HTTP_LOG = "url string, final_url string, status int, response_ms bigint, error string"
 ACCESSIBILITY = (
@@ -22,7 +24,7 @@ RUN_RECORD = (
 
 
 def read_pages(spark: SparkSession, path: str, columns: str = PAGES) -> DataFrame:
-    return spark.read.schema(columns).parquet(path)
+    return spread(spark.read.schema(columns).parquet(path))
 
 
 def read_http_log(spark: SparkSession, path: str) -> DataFrame:
