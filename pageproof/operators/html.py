@@ -30,7 +30,7 @@ BLOCK_TAGS = (
 _CUT = "\x01"
 _BLOCK = r"(?i)(</?(?:" + "|".join(BLOCK_TAGS) + r")(?:[\s/][^>]*)?>)"
 _TAG = r"</?[a-zA-Z][^>]*>|<![^>]*>"
-_QUOTED = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
+_QUOTED = r"""[^>"']*(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _CLASS_SCOPES = r"""(?i)(?:class|id)\s*=\s*["'][^"']*(?:post-content|entry-content|blog-content|article-content|content)"""
 _FAQ_MARKERS = "(?i)accordion|elementor-tab-title|aria-controls|<details"
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pageproof.functions import text as t
 
-# A record ends at a line break outside quotes; a field at a comma outside.
-_RECORD = r'(?:[^"\r\n]|"(?:[^"]|"")*")+'
-_FIELD = r'(?:^|,)\s*(?:"((?:[^"]|"")*)"\s*(?=,|$)|([^,]*))'
+# A record ends at a line break outside quotes.
+# Possessive loops keep long cells off the matcher's stack.
+_RECORD = r'[^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+'
 XLSX_COLUMNS = 20
 
 
@@ -17,17 +17,19 @@ def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """sheet_cells from CSV files: byte-order mark dropped, ragged rows kept,
     empty lines skipped, cells trimmed. One file is one row while its records
     are cut, so record order needs no shuffle; files spread over tasks."""
-    files = spark.read.option("wholetext", True).text(path)
-    body = F.regexp_replace("value", "^﻿", "")
+    files = spark.read.text(path, wholetext=True)
+    body = F.regexp_replace("value", r"^\uFEFF", "")
     rows = files.select(
         F.input_file_name().alias("sheet_id"),
-        F.posexplode(F.regexp_extract_all(body, F.lit(_RECORD), F.lit(0))).alias("row_no", "record"),
-    ).where(F.trim("record") != "")
+        F.posexplode(
+            F.filter(F.regexp_extract_all(body, F.lit(_RECORD), F.lit(0)), lambda r: F.trim(r) != "")
+        ).alias("row_no", "record"),
+    )
     quoted = lambda f: f.rlike(r'^,?\s*"')
     unquote = lambda f: F.replace(F.regexp_replace(f, r'^,?\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))
     # A leading comma marks every field alike, the first included.
     fields = F.regexp_extract_all(
-        F.concat(F.lit(","), "record"), F.lit(r',\s*(?:"(?:[^"]|"")*"\s*(?=,|$)|[^,]*)'), F.lit(0)
+        F.concat(F.lit(","), "record"), F.lit(r',\s*(?:"[^"]*+(?:""[^"]*+)*+"\s*(?=,|$)|[^,]*)'), F.lit(0)
     )
     cells = rows.select(
         "sheet_id", (F.col("row_no") + 1).cast("bigint").alias("row_no"), F.posexplode(fields).alias("col_no", "raw")
