@@ -56,7 +56,7 @@ def title_check(db: Tables):
 @query(f"""
 select doc_id, md5({d.norm('text')}) as norm_md5, md5({d.key('text')}) as key_md5,
   md5({d.display('text')}) as display_md5, md5({d.faq_key('text')}) as faq_md5,
-  regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '', 'g') as label, length({d.key('text')}) as key_length
+  regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '', 'g') as label, cast(length({d.key('text')}) as int) as key_length
 from documents
 """)
 def text_keys(db: Tables):
@@ -93,7 +93,7 @@ def text_previews(db: Tables):
 
 @query(f"""
 with w as (select doc_id, {d.words(d.key('text'))} as words from documents)
-select doc_id, len(words) as n_words, md5(array_to_string(list_sort(words), ' ')) as words_md5 from w
+select doc_id, cast(len(words) as int) as n_words, md5(array_to_string(list_sort(words), ' ')) as words_md5 from w
 """)
 def content_words(db: Tables):
     words = db.documents.select("doc_id", t.content_words(t.content_key("text")).alias("words"))
@@ -149,7 +149,7 @@ alls as (
   union all select page_id, kind, {d.tagless('raw')}, in_scope from bold where {d.tagless('raw')} <> ''
   union all select page_id, 'a', {d.tagless('raw')}, false from link
   union all select page_id, 'title', {d.norm(d.decode('''regexp_extract(html, '(?i)<title[^>]*>([^<]*)', 1)'''))}, false from pages)
-select page_id, kind, in_scope, count(*) as n, sum(length(text)) as chars, md5(min(text) || max(text)) as edge_md5
+select page_id, kind, in_scope, count(*) as n, cast(sum(length(text)) as bigint) as chars, md5(min(text) || max(text)) as edge_md5
 from alls group by page_id, kind, in_scope
 """)
 def page_elements(db: Tables):

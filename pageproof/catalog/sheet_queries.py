@@ -278,7 +278,7 @@ from {{conversations}} join (values (0), (1), (2)) c(col_no) on true where conv_
 
 @query(f"""with raw as ({duck(I.FAQ_ROWS)})
 select sheet_id, count(*) as rows_below, count(*) filter (trim(url_text) <> '') as labelled, count(hyperlink) as linked,
-  count(*) filter (trim(question) <> '' and trim(answer) <> '') as pairs, sum(length(trim(question)) + length(trim(answer))) as chars
+  count(*) filter (trim(question) <> '' and trim(answer) <> '') as pairs, cast(sum(length(trim(question)) + length(trim(answer))) as bigint) as chars
 from raw where sheet_id % 3 <> 0 group by 1""")
 def faq_sheet_cells(db: Tables):
     rows = Q.faq_rows(db.sql(FAQ_CELLS), FAQ_SEGMENT)
