@@ -1,7 +1,9 @@
 """Inputs derived from the given tables in SQL both engines accept.
 
 The tables hold no audit sheets, FAQ sheets, head tags or probe logs, so these
-are built from their rows; every input grows with its table.
+are built from their rows; every input grows with its table. Remainders of ids
+only decide how a row looks or on which of two compared sides it appears, so
+that matches, changes, gaps and extras all occur; whole tables are read.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageproof.operators.ordered import latest_per_key
+from pageproof.operators.ordered import latest_per_key, ordered_scan
 
 KEEP_SNAPSHOTS = 20
+STRETCH = 30 * 24 * 3600 * 1_000_000  # 30 days in microseconds
 ENTRY = ["run_id", "seq", "key", "category", "url", "description"]
 
 
@@ -110,37 +111,37 @@ def change_counts(changes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return changes.groupBy(*keys).agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("fixed", "new", "still")])
 
 
-def run_sequence(runs: DataFrame) -> DataFrame:
-    """runs(source_path, run_id, saved_at): newest-first rank and the run
-    before. One row per run, so the window sees runs, never entries."""
-    newest = Window.partitionBy("source_path").orderBy(F.desc("saved_at"), F.desc("run_id"))
-    oldest = Window.partitionBy("source_path").orderBy("saved_at", "run_id")
-    return runs.withColumns(
-        {"recency": F.row_number().over(newest), "previous_run_id": F.lag("run_id").over(oldest)}
+def previous_runs(runs: DataFrame) -> DataFrame:
+    """Add ``previous_run_id`` to runs(source_path, run_id, saved_at), read in
+    time order. Runs of a source are scanned in stretches of 30 days, so a
+    source holding most runs is split."""
+    at = F.unix_micros(F.col("saved_at").cast("timestamp"))
+    scanned = ordered_scan(
+        runs.withColumn("_at", at), ["source_path"], "_at", prev={"previous_run_id": F.col("run_id")}, segment_rows=STRETCH
     )
+    return scanned.drop("_at")
 
 
 def compare_last_two(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """Newest run of every source against the one before; sources with a
-    single run have nothing to compare."""
-    ranked = run_sequence(runs)
-    newest = ranked.where("recency = 1 and previous_run_id is not null").select("source_path", "run_id", "previous_run_id")
-    current = entries.join(newest.select("source_path", "run_id"), "run_id")
-    previous = entries.join(
-        newest.select("source_path", F.col("previous_run_id").alias("run_id")), "run_id"
-    )
-    return compare_entries(previous, current, ["source_path"])
+    single run have nothing to compare. Two runs per source are kept before
+    anything else happens."""
+    two = retained_snapshots(runs, 2)
+    newest = previous_runs(two).where("previous_run_id is not null").select("source_path", "run_id", "previous_run_id")
+    return _changes(newest, entries).drop("run_id")
 
 
 def run_changes(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """Every run against its predecessor, all sources at once: an entry of
     the run before is looked up under the next run's id."""
-    ranked = run_sequence(runs)
-    step = ranked.where("previous_run_id is not null").select("source_path", "run_id", "previous_run_id")
+    return _changes(previous_runs(runs).where("previous_run_id is not null"), entries)
+
+
+def _changes(step: DataFrame, entries: DataFrame) -> DataFrame:
     current = entries.join(step.select("source_path", "run_id"), "run_id")
     previous = (
         entries.withColumnRenamed("run_id", "previous_run_id")
-        .join(step, "previous_run_id")
+        .join(step.select("source_path", "run_id", "previous_run_id"), "previous_run_id")
         .drop("previous_run_id")
     )
     return compare_entries(previous, current, ["source_path", "run_id"])

@@ -51,7 +51,7 @@ def test_entries_and_comparison(spark):
 
 
 def test_last_two_runs_per_source(spark):
-    runs = spark.createDataFrame([("s", "a", "1"), ("s", "b", "2"), ("s", "c", "3"), ("t", "d", "1")], "source_path string, run_id string, saved_at string")
+    runs = spark.createDataFrame([("s", "a", "2024-01-01"), ("s", "b", "2024-03-02"), ("s", "c", "2024-03-03"), ("t", "d", "2024-01-01")], "source_path string, run_id string, saved_at string")
     entries = spark.createDataFrame([("a", 0, "k1"), ("b", 0, "k2"), ("c", 0, "k2"), ("c", 1, "k3"), ("d", 0, "k4")], "run_id string, seq bigint, key string").select("*", *[F.lit("x").alias(c) for c in ("category", "url", "description")])
     assert {(r.source_path, r.key, r.change) for r in P.compare_last_two(runs, entries).collect()} == {("s", "k2", "still"), ("s", "k3", "new")}
     assert {(r.run_id, r.key, r.change) for r in P.run_changes(runs, entries).collect()} == {("b", "k1", "fixed"), ("b", "k2", "new"), ("c", "k2", "still"), ("c", "k3", "new")}
