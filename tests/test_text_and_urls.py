@@ -18,7 +18,7 @@ BASE = "https://www.example.com/blog/post"
         (t.decode_markup, "&amp;lt; &ndash; &nope;", "&lt; – &nope;"),
         (t.html_to_text, "<b>Infra</b>'s<br>next ​", "Infra's next "),
         (t.preview10, "a b c d e f g h i j k", "a b c d e f g h i j…"),
-        (t.source_slug, "audit-sheets/On page optimization fixes - JRC.xlsx", "On-page-optimization-fixes-JRC"),
+        (t.source_slug, "audit-sheets/Spring fixes_ home page - north.xlsx", "Spring-fixes-home-page-north"),
         (t.compact_timestamp, "2026-07-01T11:11:52.947Z", "2026-07-01T11-11-52"),
         (t.slug_segment, " /Blog/Post/ ", "blog/post"),
         (t.md_cell, "a|b\\c\nd", "a\\|b\\\\c<br>d"),
