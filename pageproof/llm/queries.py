@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageproof.llm import bpe, fingerprints, secrets, urlrules
+from pageproof.llm import bpe, fingerprints, quality, secrets, urlrules
 from pageproof.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -72,6 +72,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
