@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, fingerprints, quality, secrets, urlrules
-from pageproof.llm.common import table
+from pageproof.llm import bpe, fingerprints, langid, quality, secrets, urlrules
+from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -72,6 +73,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~held_out(F.col("doc_id"))))
+    found = docs.select("doc_id", langid.predict(F.col("text"), profiles).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
+
+
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
