@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, fingerprints, langid, quality, secrets, urlrules
+from pageproof.llm import bpe, fingerprints, langid, quality, secrets, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -73,6 +73,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = docs.select("doc_id", toxicity.score(F.col("text"), toxicity.learn(docs, labels)).alias("score"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query()
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
