@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, fingerprints, langid, quality, secrets, toxicity, urlrules
+from pageproof.llm import bpe, fingerprints, langid, minhash, quality, secrets, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -31,6 +31,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+@query("""
+with recursive cut as (
+    select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+    from documents),
+shingled as (
+    select doc_id, list_distinct(case when len(w) < 2 then case when len(w) = 1 then [w[1]] else [] end
+        else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+    from cut),
+one as (select min(doc_id) as rep, list_sort(s) as s from shingled where len(s) > 0 group by list_sort(s)),
+items as (select rep, len(s) as n, unnest(s) as x from one),
+pairs as (
+    select a.rep as a, b.rep as b
+    from items a join items b on a.x = b.x and a.rep < b.rep
+    where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.rep, b.rep, a.n, b.n
+    having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union select b, a from pairs),
+reach(a, b) as (select rep, rep from one union select r.a, l.b from reach r join links l on r.b = l.a),
+least_of as (select a as rep, min(b) as component_id from reach group by a)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id,
+    coalesce(l.component_id, d.doc_id) = d.doc_id as kept
+from shingled d left join one o on len(d.s) > 0 and list_sort(d.s) = o.s left join least_of l on o.rep = l.rep
+""")
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 @query()
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
