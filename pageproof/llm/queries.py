@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, fingerprints, langid, minhash, quality, secrets, toxicity, urlrules
+from pageproof.llm import bpe, fingerprints, langid, minhash, quality, secrets, substrings, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -125,6 +125,27 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+@query("""
+with cut as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+    from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as p from cut),
+windows as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from starts),
+seen as (select doc_id, p, min(doc_id) over (partition by h) as first_id from windows),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as q from seen where first_id < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from cut),
+kept as (
+    select doc_id, count(g.q) as n_removed,
+        coalesce(string_agg(word, ' ' order by q) filter (g.q is null), '') as kept_text
+    from words left join gone g using (doc_id, q) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+    sha256(coalesce(kept_text, '')) as kept_sha256
+from cut left join kept using (doc_id)
+""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
