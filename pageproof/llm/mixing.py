@@ -32,6 +32,8 @@ SAMPLE_ROWS = 6000
 #: Terms of the classifier at most; each occurs in LEAST_ROWS rows of the sample
 #: and leans to some domain (chi-square).
 TERMS, LEAST_ROWS, LEAST_LEANING = 300, 4, 20.0
+#: Least rate that counts as 1 where documents are drawn once at most.
+SURE = 0.9
 #: Steps after which the rates so far are stored, which keeps plans short.
 STORED_STEPS = 10
 
@@ -199,7 +201,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents drawn at rates of 1 at most, so none twice, with all their
-    columns. Rows with a null id stay."""
-    drawn = mix(docs, labels, weights, most=1.0).where("copies > 0 and doc_id is not null").select("doc_id").distinct()
+    columns. Rates of SURE or more draw for certain, so that no document of the
+    scarcest domain is lost to rounding. Rows with a null id stay."""
+    drawn = mix(docs, labels, weights, most=1.0).where((F.col("copies") > 0) | (F.col("rate") >= SURE))
+    drawn = drawn.where("doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(drawn, "doc_id", "left_semi")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

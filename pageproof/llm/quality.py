@@ -96,15 +96,15 @@ class Rule:
 
 
 def default_rules() -> tuple[Rule, ...]:
-    per_word = lambda c: F.col(c) / F.col("n_words")
-    mean = per_word("word_chars")
+    n, chars = F.col("n_words"), F.col("word_chars")
+    symbols, repeats, upper = F.col("n_symbols"), F.col("n_repeat_words"), F.col("n_upper")
     return (
-        Rule("length", F.col("n_words") >= 40, F.col("n_words") < 10),
-        Rule("symbols", per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.25),
+        Rule("length", n >= 40, n < 10),
+        Rule("symbols", symbols <= 0.02 * n, symbols > 0.25 * n),
         Rule("dup_lines", F.col("n_dup_lines") == 0, F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
-        Rule("repeats", per_word("n_repeat_words") <= 0.02, per_word("n_repeat_words") > 0.15),
-        Rule("word_length", mean.between(3, 9), (mean < 2) | (mean > 14)),
-        Rule("upper", F.col("n_upper") <= 0.12 * F.col("word_chars"), F.col("n_upper") > 0.4 * F.col("word_chars")),
+        Rule("repeats", repeats <= 0.02 * n, repeats > 0.15 * n),
+        Rule("word_length", chars.between(3 * n, 9 * n), (chars < 2 * n) | (chars > 14 * n)),
+        Rule("upper", upper <= 0.12 * chars, upper > 0.4 * chars),
     )
 
 
