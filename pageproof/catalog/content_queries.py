@@ -81,9 +81,9 @@ def brief_links_and_bold(db: Tables):
 # ---- single values ----------------------------------------------------------
 
 VALUES = r"""
-select p.page_id as pair_id, p.url, substring(split_part(d.text, chr(10), 1), 1, 40) as e_meta_title,
-  case p.page_id % 6 when 0 then substring(split_part(d.text, chr(10), 1), 1, 40) || ' | Site Name' when 1 then '' when 2 then upper(substring(split_part(d.text, chr(10), 1), 1, 12)) || substring(split_part(d.text, chr(10), 1), 13, 28) || '.'
-    when 3 then 'Another title' when 4 then null else substring(split_part(d.text, chr(10), 1), 1, 40) || ' - ' end as a_meta_title,
+select p.page_id as pair_id, p.url, split_part(d.text, chr(10), 1) as e_meta_title,
+  case p.page_id % 6 when 0 then split_part(d.text, chr(10), 1) || ' | Site Name' when 1 then '' when 2 then upper(substring(split_part(d.text, chr(10), 1), 1, 12)) || substring(split_part(d.text, chr(10), 1), 13) || '.'
+    when 3 then 'Another title' when 4 then null else split_part(d.text, chr(10), 1) || ' - ' end as a_meta_title,
   case p.page_id % 4 when 0 then p.url || '?utm_source=x#top' when 1 then null when 2 then 'https://other.example/' else '/x/' || p.page_id end as a_canonical,
   case when p.page_id % 3 = 0 then p.url || '/' end as e_canonical,
   case p.page_id % 4 when 0 then null when 1 then '/' || p.page_id || '/' else cast(d.doc_id as varchar(20)) end as e_slug,
@@ -345,13 +345,14 @@ def bold_multiset(db: Tables):
 
 @query(f"""with b as (select item_id as e_id, {d.words(d.key('text'))} as w from benchmark),
 l0 as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
-l as (select doc_id * 100000 + n as a_id, {d.words(d.key('line'))} as w from l0),
+l as (select struct_pack(doc_id := doc_id, n := n) as a_id, {d.words(d.key('line'))} as w from l0),
 ew as (select e_id, len(w) as n, unnest(w) as w from b), aw as (select a_id, len(w) as n, unnest(w) as w from l),
 hit as (select e_id, a_id, count(*) as shared, count(*) / greatest(min(ew.n), min(aw.n)) as score from ew join aw using (w) group by 1, 2)
-select e_id, a_id, round(score, 6) as score from hit where shared >= 3 and score >= 0.65 qualify row_number() over (partition by e_id order by score desc, a_id) = 1""")
+select e_id, a_id.doc_id as doc_id, a_id.n as line_no, round(score, 6) as score from hit where shared >= 3 and score >= 0.65 qualify row_number() over (partition by e_id order by score desc, a_id) = 1""")
 def similar_paragraphs_corpus(db: Tables):
     e = db.benchmark.select(F.col("item_id").alias("e_id"), t.content_key("text").alias("e_key"))
     a = db.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select(
-        (F.col("doc_id") * 100000 + F.col("n")).alias("a_id"), t.content_key("line").alias("a_key")
+        F.struct("doc_id", F.col("n").cast("long").alias("n")).alias("a_id"), t.content_key("line").alias("a_key")
     )
-    return similar_across_corpus(e, a).withColumn("score", F.round("score", 6))
+    found = similar_across_corpus(e, a)
+    return found.select("e_id", F.col("a_id.doc_id").alias("doc_id"), F.col("a_id.n").alias("line_no"), F.round("score", 6).alias("score"))

@@ -153,7 +153,7 @@ _LAST = "split_part(d.text, chr(10), -1)"
 # The paired document's text as a writer might have changed it: moved last
 # line, joined clauses, an added closing line, or as published.
 DRAFTS = f"""
-select p.page_id, p.url, substring(split_part(d.text, chr(10), 1), 1, 60) as headline, d.lang,
+select p.page_id, p.url, split_part(d.text, chr(10), 1) as headline, d.lang,
   case when p.page_id % 4 = 1 and d.text like '%' || chr(10) || '%' then {_LAST} || chr(10) || substring(d.text, 1, length(d.text) - length({_LAST}) - 1)
     when p.page_id % 4 = 2 then replace(d.text, ', ', ' and so ')
     when p.page_id % 4 = 3 then d.text || chr(10) || 'An entirely new closing paragraph written for page ' || p.page_id || ' alone.'

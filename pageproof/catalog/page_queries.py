@@ -12,11 +12,11 @@ from pageproof.functions.sql import register_sql_functions
 from pageproof.operators import checks as C
 from pageproof.operators import html as H
 
-# Expected titles: the paired document's first line, cut to the title's length.
+# Expected titles: the paired document's first line.
 # The document id is the first number in the page's URL path.
 PAIRED = r"""
 paired as (select p.page_id, p.url, p.title,
-    substring(split_part(doc.text, chr(10), 1), 1, length(p.title)) as expected
+    split_part(doc.text, chr(10), 1) as expected
   from titled p left join documents doc
     on doc.doc_id = try_cast(regexp_extract(p.url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) as bigint))
 """
@@ -29,7 +29,7 @@ def titled_pages(db: Tables):
     )
     lines = db.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
     return keyed.join(lines, "doc_id", "left").select(
-        "page_id", "url", "title", F.expr("substring(line, 1, length(title))").alias("expected")
+        "page_id", "url", "title", F.col("line").alias("expected")
     )
 
 
@@ -56,7 +56,7 @@ def title_check(db: Tables):
 @query(f"""
 select doc_id, md5({d.norm('text')}) as norm_md5, md5({d.key('text')}) as key_md5,
   md5({d.display('text')}) as display_md5, md5({d.faq_key('text')}) as faq_md5,
-  regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '', 'g') as label, cast(length({d.key('text')}) as int) as key_length
+  regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as label, cast(length({d.key('text')}) as int) as key_length
 from documents
 """)
 def text_keys(db: Tables):
@@ -66,21 +66,21 @@ def text_keys(db: Tables):
         F.md5(t.content_key("text")).alias("key_md5"),
         F.md5(t.content_display("text")).alias("display_md5"),
         F.md5(t.faq_key("text")).alias("faq_md5"),
-        t.normalize_label(F.substring("text", 1, 40)).alias("label"),
+        t.normalize_label("text").alias("label"),
         F.length(t.content_key("text")).alias("key_length"),
     )
 
 
 @query(f"""
 select doc_id, {d.preview10('text')} as preview, {d.question_preview('text')} as question,
-  regexp_replace(left(replace(trim(regexp_replace(regexp_replace(source || '_' || lang || ' - ' || left(text, 80), '[^a-zA-Z0-9]', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '-'), 60), '-+$', '') as slug,
-  replace(replace(replace(left(text, 50), '\\', '\\\\'), '|', '\\|'), chr(10), '<br>') as cell,
-  replace(replace(replace(replace(replace(left(text, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped
+  regexp_replace(left(replace(trim(regexp_replace(regexp_replace(source || '_' || lang || ' - ' || text, '[^a-zA-Z0-9]', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '-'), 60), '-+$', '') as slug,
+  replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(10), '<br>') as cell,
+  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped
 from documents
 """.replace("\\\\s", "\\s"))
 def text_previews(db: Tables):
-    head = F.substring("text", 1, 50)
-    name = F.concat("source", F.lit("_"), "lang", F.lit(" - "), F.replace(F.replace(F.substring("text", 1, 80), F.lit("/"), F.lit(" ")), F.lit("\\"), F.lit(" ")), F.lit(".docx"))
+    head = F.col("text")
+    name = F.concat("source", F.lit("_"), "lang", F.lit(" - "), F.replace(F.replace(F.col("text"), F.lit("/"), F.lit(" ")), F.lit("\\"), F.lit(" ")), F.lit(".docx"))
     return db.documents.select(
         "doc_id",
         t.preview10("text").alias("preview"),

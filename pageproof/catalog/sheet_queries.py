@@ -318,10 +318,10 @@ def faq_structural(db: Tables):
 
 
 # Questions and answers taken from the paired document's lines: first line
-# asked, last line answered; every third answer is spoilt.
+# asked, all that follows answered; every third answer is spoilt.
 ASKED = r"""
 select p.page_id, p.url, split_part(doc.text, chr(10), 1) as question,
-  case when p.page_id % 3 = 1 then 'spoilt ' else '' end || case when p.page_id % 4 = 2 then 'nowhere' else split_part(doc.text, chr(10), -1) end as answer,
+  case when p.page_id % 3 = 1 then 'spoilt ' else '' end || case when p.page_id % 4 = 2 then 'nowhere' else substring(doc.text, length(split_part(doc.text, chr(10), 1)) + 2) end as answer,
   case when p.page_id % 5 = 0 then 'never asked ' else '' end as lead
 from {pages} p join {documents} doc on doc.doc_id = cast(regexp_extract(p.url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) as bigint)
 """
@@ -334,7 +334,7 @@ select url, pos as seq, 'FAQ: "' || {d.question_preview('question')} || '"' as c
   case when not hq then {d.lit(Q.MISSING_ACTUAL)} when not ha then {d.lit(Q.TEXT_ACTUAL)} else answer end as actual,
   case when not hq then {d.lit(Q.MISSING_MESSAGE)} when not ha then {d.lit(Q.TEXT_MESSAGE)} end as message from j""")
 def faq_page_text(db: Tables):
-    asked = db.sql(ASKED.replace(r"^https?://[^/]+/[a-z]+/([0-9]+)", r"^https?://[^/]+/[a-z]+/([0-9]+)"))
+    asked = db.sql(ASKED)
     expected = asked.select("url", F.col("page_id").alias("pos"), F.concat("lead", "question").alias("question"), "answer")
     texts = db.pages.select("url", H.full_text().alias("page_text"))
     return Q.page_text_results(expected, texts).drop("diff")

@@ -121,7 +121,7 @@ def _replace_refs(c: Column, cut: str, marker: str, find, char) -> Column:
 
 def _numeric_refs(c: Column, marker: str, digits: str, base: int) -> Column:
     cut = marker.replace("x", "[xX]")
-    find = lambda p: F.regexp_extract(p, f"^({digits}{{1,9}});", 1)
+    find = lambda p: F.regexp_extract(p, f"^(0*{digits}{{1,9}});", 1)
     char = lambda ref: let(F.conv(ref, base, 10).cast("bigint"), code_point)
     return let(
         c,
@@ -147,10 +147,10 @@ _NAMED = json.dumps({**{k: chr(v) for k, v in html.entities.name2codepoint.items
 def decode_markup(c) -> Column:
     """Single-pass reference decoding, the way a page's DOM text reads."""
     named = F.from_json(F.lit(_NAMED), "map<string,string>")
-    find = lambda p: F.regexp_extract(p, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
+    find = lambda p: F.regexp_extract(p, "^(#0*[0-9]{1,8}|#[xX]0*[0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
 
     def char(ref: Column) -> Column:
-        n = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8))
+        n = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.length(ref)), 16, 10)).otherwise(F.substring(ref, F.lit(2), F.length(ref)))
         return F.when(ref.startswith("#"), let(n.try_cast("bigint"), code_point)).otherwise(named[ref])
 
     return let(c, lambda v: F.when(v.contains("&"), _replace_refs(v, "&", "&", find, char)).otherwise(v))

@@ -3,13 +3,12 @@
 A report is a table of lines keyed by (run_id, section, seq, line): building
 one needs filters and unions, not one group holding a whole run. Writers
 range-partition by run and line, so the files of a run, read in name order,
-are the document. ``single_documents`` joins lines into one string per run and
-is meant for runs known to be small enough to hand to a person.
+are the document. ``document_lines`` is the document of every run as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageproof.functions import text as t
@@ -213,9 +212,8 @@ def summary_report_lines(runs: DataFrame, categories: DataFrame) -> DataFrame:
     )
     sheets = runs.where(~blog)
     # Largest category first; ties in order of first appearance.
-    ranked = categories.withColumn(
-        "seq", (F.lit(2**40) - F.col("total")) * F.lit(2**20) + F.least(F.col("first_seq"), F.lit(2**20 - 1))
-    )
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("total"), "first_seq", "category"))
+    ranked = categories.withColumn("seq", place.cast("bigint"))
     cats = _section(
         sheets, ranked.join(sheets.select("run_id"), "run_id", "left_semi"), 1, "## SEO Issues by Category", CATEGORY_HEAD,
         "No SEO checks were executed for this sheet.",
@@ -238,8 +236,8 @@ def bug_report_lines(runs: DataFrame, checks: DataFrame) -> DataFrame:
     """Hand-over document: Must Fix, Warnings, Passed. ``runs`` may pin the
     page with ``url``; else a run over one URL names it, and a run over many
     shows the URL per issue. Names of passed checks belong to one text line;
-    they come as rows of section GLUED, which ``single_documents`` joins, so
-    that building the table collects no run's passed checks."""
+    they come as rows of section GLUED, each a line of one paragraph, so that
+    no run's passed checks are ever gathered."""
     stats = checks.groupBy("run_id").agg(
         F.count_if(F.col("status") == "failed").alias("n_failed"),
         F.count_if(F.col("status") == "warning").alias("n_warning"),
@@ -351,26 +349,17 @@ def write_lines(lines: DataFrame, path: str, by: str = "run_id") -> None:
     )
 
 
-def single_documents(lines: DataFrame, max_lines: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, oversize runs): lines joined per run where a run's line
-    count is within the bound; larger runs are listed for ``write_lines``."""
-    sizes = lines.groupBy("run_id").agg(F.count("*").alias("n"))
-    small = lines.join(sizes.where(F.col("n") <= max_lines).select("run_id"), "run_id", "left_semi")
-    item = F.struct("section", "seq", "line_no", "line")
-    text = lambda test, glue: F.array_join(F.transform(F.filter("_x", test), lambda x: x["line"]), glue)
-    glued = text(lambda x: x["section"] == GLUED, ", ")
-    docs = (
-        small.groupBy("run_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("_x"))
-        .select(
-            "run_id",
-            F.concat(
-                text(lambda x: x["section"] != GLUED, "\n"),
-                F.when(glued != "", F.concat(F.lit(" "), glued, F.lit("\n"))).otherwise(""),
-            ).alias("document"),
-        )
-    )
-    return docs, sizes.where(F.col("n") > max_lines)
+def document_lines(lines: DataFrame) -> DataFrame:
+    """(run_id, section, seq, line_no, line): the document of every run, one row
+    per line, however many it has. Names of section GLUED are lines of one
+    paragraph, which Markdown shows as running text; all but the last of a run
+    end in a comma, told by one aggregate over the names."""
+    glued = lines.where(F.col("section") == GLUED)
+    place = F.struct("seq", "line_no")
+    last = glued.groupBy("run_id").agg(F.max(place).alias("_last"))
+    marked = glued.join(last, "run_id").withColumn("line", F.when(place == F.col("_last"), F.col("line")).otherwise(F.concat("line", F.lit(","))))
+    columns = ["run_id", "section", "seq", "line_no", "line"]
+    return lines.where(F.col("section") != GLUED).select(columns).unionByName(marked.select(columns))
 
 
 def report_paths(runs: DataFrame) -> DataFrame:

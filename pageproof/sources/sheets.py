@@ -10,7 +10,6 @@ from pageproof.functions import text as t
 # A record ends at a line break outside quotes.
 # Possessive loops keep long cells off the matcher's stack.
 _RECORD = r'[^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+'
-XLSX_COLUMNS = 20
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +71,7 @@ def expand_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
         "col_no",
         F.coalesce(pick("_v", "value"), F.lit("")).alias("value"),
         pick("_h", "hyperlink").alias("hyperlink"),
-    ).where(F.col("col_no") < XLSX_COLUMNS)
+    )
 
 
 def source_format(path) -> F.Column:

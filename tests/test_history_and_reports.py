@@ -77,9 +77,8 @@ RUN = "run_id string, kind string, source_path string, generated_at string, dura
 
 
 def text_of(lines):
-    docs, large = S.single_documents(lines)
-    assert large.count() == 0
-    return {r.run_id: r.document for r in docs.collect()}
+    rows = S.document_lines(lines).orderBy("run_id", "section", "seq", "line_no").collect()
+    return {run: "\n".join(r.line for r in rows if r.run_id == run) for run in {r.run_id for r in rows}}
 
 
 def test_bug_report_document(spark):
@@ -90,7 +89,7 @@ def test_bug_report_document(spark):
         "# SEO Audit Bug Report\n\nLive URL: https://x.com/\nAudit sheet: My.xlsx\nTested: 2024-01-01T00:00:00.000Z\n"
         "Result: 1 Failed, 1 Warning, 2 Passed\n\n## Must Fix\n\n### Missing title\nExpected: New\nActual: Old\n\n"
         "## Warnings\n\n### Alt\nExpected: (none)\nActual: (missing from the live page)\n\n"
-        "## Passed\n\n2 check(s) already match the approved document: H1, H2\n"
+        "## Passed\n\n2 check(s) already match the approved document:\nH1,\nH2"
     )
     assert docs["r9"].endswith("No issues found. Every check in this run passed — nothing for a developer to fix.\n")
 
@@ -134,3 +133,21 @@ def test_rerun_and_batches(spark):
     assert got["1"] is None and got["2"] == '"b" is not a blog audit.' and got["5"] == "Audit 5 was not found." and "no live URL" in got["3"] and "upload it once more" in got["4"]
     items = spark.createDataFrame([(1, 0, "a.docx", "https://x.com/p/"), (1, 1, "b.docx", "https://x.com/p?utm_source=q"), (1, 2, "c.docx", "https://x.com/q")], "batch_id int, idx int, filename string, url string")
     assert [tuple(r) for r in C.duplicate_batch_urls(items).collect()] == [(1, "https://x.com/p?utm_source=q")]
+
+
+def test_documents_of_any_length_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_001
+    lines = spark.range(n).select(F.lit("r").alias("run_id"), F.lit(1).alias("section"), F.col("id").alias("seq"), F.lit(0).alias("line_no"), F.lit("x").alias("line"))
+    assert S.document_lines(lines).count() == n
+
+
+def test_categories_far_down_keep_their_order(spark):
+    rows = [("r1", "b", 1, 0, 0, 1, 2**21 + 1), ("r1", "a", 1, 0, 0, 1, 2**21), ("r1", "c", 2, 0, 0, 2, 2**22)]
+    cats = spark.createDataFrame(rows, "run_id string, category string, passed long, failed long, skipped long, total long, first_seq long")
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("total"), "first_seq", "category"))
+    assert [r.category for r in cats.withColumn("seq", place).orderBy("seq").collect()] == ["c", "a", "b"]

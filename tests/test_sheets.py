@@ -133,3 +133,11 @@ def test_a_check_can_be_added(spark):
         "og_tags": F.array().cast("array<struct<name:string,content:string>>"), "twitter_tags": F.array().cast("array<struct<name:string,content:string>>"),
     })
     assert C.field_results(sent, registry).first().message == "Map is valid."
+
+
+def test_merges_reach_columns_past_the_twentieth(spark):
+    from pageproof.sources.sheets import expand_merges
+
+    cells = spark.createDataFrame([("s", 0, 24, "wide", None)], "sheet_id string, row_no long, col_no int, value string, hyperlink string")
+    merges = spark.createDataFrame([("s", 0, 24, 1, 25)], "sheet_id string, top long, left int, bottom long, right int")
+    assert {(r.row_no, r.col_no, r.value) for r in expand_merges(cells, merges).collect()} == {(i, j, "wide") for i in (0, 1) for j in (24, 25)}

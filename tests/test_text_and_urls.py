@@ -97,3 +97,11 @@ def test_sql_names(spark):
     assert "pp_normalize_text" in names
     row = spark.sql("select pp_normalize_text('  a   b ') a, pp_is_url('https://x.y') b, pp_strip_edge_punct('..x!') c").first()
     assert tuple(row) == ("a b", True, "x")
+
+
+def test_numeric_references_of_any_length(value):
+    from pageproof.functions import text as t
+
+    for raw in ("&#0000000000065;", "&#x00000000000041;", "&#65;"):
+        assert value(lambda c: t.decode_entities(c), c=raw) == "A"
+        assert value(lambda c: t.decode_markup(c), c=raw) == "A"
