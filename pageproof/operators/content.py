@@ -524,6 +524,12 @@ def bold_results(pairs: DataFrame) -> DataFrame:
     return match_bolds(*bold_items(pairs))
 
 
+def not_loaded(brief_table: DataFrame) -> DataFrame:
+    """One row of status ``error`` for each brief (doc_id, url) without a page."""
+    rows = brief_table.select(F.col("doc_id").alias("pair_id"), "url")
+    return _row(rows, "load", 0, "Page", "error", None, None, "no snapshot of this page")
+
+
 def compare_content(pairs: DataFrame) -> DataFrame:
     """All content checks of every pair, in one result table. The pairs are
     read once per group of checks; callers materialise them first."""

@@ -24,7 +24,11 @@ TEXT_ACTUAL = (
     "Question is present, but this answer text is missing or different — update the live answer to match Expected."
 )
 TEXT_MESSAGE = "The FAQ question is present, but its expected answer text could not be found on the live page."
+LOAD_CHECK = "FAQ (page load failed)"
+LOAD_EXPECTED = "This page's FAQs — not a live-site bug, nothing to fix on the page itself."
+LOAD_AGAIN = " Re-run the audit to test this page's FAQs."
 # -----------------------------------------------------------------------------
+NO_SNAPSHOT = "no snapshot of this page."
 
 
 def faq_headers(cells: DataFrame) -> DataFrame:
@@ -248,25 +252,28 @@ def load_failures(groups: DataFrame, failures: DataFrame) -> DataFrame:
     """One warning per FAQ page that did not load: failures(url, error)."""
     return groups.select("url").distinct().join(failures, "url").select(
         "url",
-        F.lit("FAQ (page load failed)").alias("check_type"),
+        F.lit(LOAD_CHECK).alias("check_type"),
         F.lit("warning").alias("status"),
-        F.lit("This page's FAQs — not a live-site bug, nothing to fix on the page itself.").alias("expected"),
-        F.concat(
-            F.lit("Untested — the page failed to load: "), "error", F.lit(" Re-run the audit to test this page's FAQs.")
-        ).alias("actual"),
+        F.lit(LOAD_EXPECTED).alias("expected"),
+        F.concat(F.lit("Untested — the page failed to load: "), "error", F.lit(LOAD_AGAIN)).alias("actual"),
         F.concat(F.lit("Unable to load the page to check its FAQs: "), "error").alias("message"),
     )
 
 
 def check_faqs(expected: DataFrame, pages: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Whole FAQ audit: structured pages by occurrence, others by text. One
-    snapshot per URL is compared, the latest by page_id."""
+    snapshot per URL is compared, the latest by page_id; a URL without any gives
+    one warning that its FAQs are untested."""
     wanted = pages.join(expected.select("url").distinct(), "url", "left_semi")
     found = with_faqs(latest_per_key(wanted, ["url"], "page_id"))
     structured = found.where(F.size("faqs") > 0)
     plain = found.where(F.size("faqs") == 0).select("url", full_text().alias("page_text"))
     actual = structured.select("url", F.posexplode("faqs").alias("pos", "f")).select("url", "pos", "f.question", "f.answer")
     on_structured = expected.join(structured.select("url"), "url", "left_semi")
-    return structural_results(match_pairs(on_structured, actual, segment_rows)).unionByName(
-        page_text_results(expected, plain)
+    absent = expected.select("url").distinct().join(pages.select("url").distinct(), "url", "left_anti")
+    failed = load_failures(absent, absent.withColumn("error", F.lit(NO_SNAPSHOT)))
+    return (
+        structural_results(match_pairs(on_structured, actual, segment_rows))
+        .unionByName(page_text_results(expected, plain))
+        .unionByName(failed, allowMissingColumns=True)
     )

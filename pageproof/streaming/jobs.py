@@ -61,52 +61,63 @@ def first_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str =
 
 class BatchProgress(StatefulProcessor):
     """Progress of a batch. Events: created (value = item count), running,
-    done, error, aborted. Totals move only on the first settlement of an item;
-    two hours after its last event a finished batch is dropped."""
+    done, error, aborted; any other is ignored. Totals move only on the first
+    settlement of an item, also of one that arrives before its batch's "created".
+    The item last begun is kept from one micro-batch to the next. Two hours after
+    its last event, a batch is dropped, finished or not. Rows are taken chunk by
+    chunk, so a large batch is never held whole."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "total bigint, settled bigint, errored bigint, closed boolean")
+        self.totals = handle.getValueState("totals", "total bigint, settled bigint, errored bigint, closed boolean, current string, last_ms bigint")
         self.settled = handle.getMapState("settled", "idx int", "status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        state = list(self.totals.get()) if self.totals.exists() else None
-        current = None
-        for e in events.itertuples(index=False):
-            if e.status == "created":
-                state = state or [int(e.value), 0, 0, False]
-            elif state is None or state[3]:
-                continue
-            elif e.status == "aborted":
-                # Whatever has not settled counts as failed.
-                state = [state[0], state[0], state[2] + state[0] - state[1], True]
-            elif e.status == "running":
-                current = e.filename
-            elif not self.settled.containsKey((int(e.idx),)):
-                self.settled.updateValue((int(e.idx),), (e.status,))
-                state[1] += 1
-                state[2] += e.status == "error"
-                state[3] = state[1] >= state[0]
-        if state is None:
-            return
+        # A total of -1: not created yet.
+        state = list(self.totals.get()) if self.totals.exists() else [-1, 0, 0, False, None, 0]
+        for chunk in rows:
+            for e in chunk.sort_values(["ts", "seq"]).itertuples(index=False):
+                self._take(state, e)
+        if state[0] >= 0 and state[1] >= state[0]:
+            state[3] = True
         self.totals.update(tuple(state))
-        if state[3]:
-            self.handle.registerTimer(int(events["ts"].max().timestamp() * 1000) + RETENTION_MS)
+        self.handle.registerTimer(state[5] + RETENTION_MS)
+        if state[0] < 0:
+            return
         yield pd.DataFrame(
             {
                 "batch_id": [key[0]],
                 "total": [state[0]],
                 "completed": [state[1]],
                 "errored": [state[2]],
-                "current_filename": [None if state[3] else current],
+                "current_filename": [None if state[3] else state[4]],
                 "status": ["done" if state[3] else "running"],
             }
         )
 
+    def _take(self, state: list, e) -> None:
+        state[5] = max(state[5], int(e.ts.timestamp() * 1000))
+        if e.status == "created":
+            if state[0] < 0:
+                state[0] = int(e.value)
+        elif state[3]:
+            return
+        elif e.status == "aborted" and state[0] >= 0:
+            # Whatever has not settled counts as failed.
+            state[1:4] = [state[0], state[2] + state[0] - state[1], True]
+        elif e.status == "running":
+            state[4] = e.filename
+        elif e.status in ("done", "error") and not self.settled.containsKey((int(e.idx),)):
+            self.settled.updateValue((int(e.idx),), (e.status,))
+            state[1] += 1
+            state[2] += e.status == "error"
+            state[3] = 0 <= state[0] <= state[1]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.totals.clear()
-        self.settled.clear()
+        # A later event has set a later timer.
+        if self.totals.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.totals.get()[5] + RETENTION_MS:
+            self.totals.clear()
+            self.settled.clear()
         return iter([])
 
     def close(self) -> None:
@@ -127,20 +138,24 @@ def batch_progress(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 class EntryTransitions(StatefulProcessor):
     """Failing state of one entry across a source's runs. Input rows say for
-    (source, key) whether it fails in a run; a change is emitted per run."""
+    (source, key) whether it fails in a run; a change is emitted per run. Runs are
+    compared in the order of their numbers: one that arrives after a later run
+    has been judged comes too late and changes nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failing = handle.getValueState("failing", "failing boolean")
+        self.failing = handle.getValueState("failing", "failing boolean, run_no bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        before = bool(self.failing.get()[0]) if self.failing.exists() else False
+        before, last = self.failing.get() if self.failing.exists() else (False, None)
         for r in pd.concat(list(rows)).sort_values("run_no").itertuples(index=False):
-            now = bool(r.failing)
+            if last is not None and r.run_no <= last:
+                continue
+            now, last = bool(r.failing), int(r.run_no)
             if before or now:
                 out.append((key[0], key[1], r.run_id, "still" if before and now else "new" if now else "fixed"))
             before = now
-        self.failing.update((before,))
+        self.failing.update((before, last))
         yield pd.DataFrame(out, columns=["source_path", "key", "run_id", "change"])
 
     def close(self) -> None:

@@ -79,3 +79,10 @@ def test_repeated_questions_pair_by_occurrence(spark):
     a = spark.createDataFrame([("u", i, "q?", f"a{i}") for i in range(2)], "url string, pos int, question string, answer string")
     got = {(r.exp_pos, r.act_pos) for r in Q.match_pairs(e, a, segment_rows=2).collect()}
     assert got == {(0, 0), (1, 1), (2, None)}
+
+
+def test_a_page_without_snapshot_is_reported(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    expected = spark.createDataFrame([(L1, 1, "Q", "A"), (L1, 2, "R", "B")], "url string, pos int, question string, answer string")
+    got = Q.check_faqs(expected, pages).collect()
+    assert [(r.url, r.check_type, r.status) for r in got] == [(L1, Q.LOAD_CHECK, "warning")]

@@ -141,3 +141,17 @@ def test_merges_reach_columns_past_the_twentieth(spark):
     cells = spark.createDataFrame([("s", 0, 24, "wide", None)], "sheet_id string, row_no long, col_no int, value string, hyperlink string")
     merges = spark.createDataFrame([("s", 0, 24, 1, 25)], "sheet_id string, top long, left int, bottom long, right int")
     assert {(r.row_no, r.col_no, r.value) for r in expand_merges(cells, merges).collect()} == {(i, j, "wide") for i in (0, 1) for j in (24, 25)}
+
+
+def test_the_latest_snapshot_alone_counts(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://x.com/a", "<title>old</title>"), (2, "https://x.com/a", "<title>new</title>")], "page_id long, url string, html string"
+    )
+    sheet = cells(spark, ["URL", "Issue", "Expected"], ["https://x.com/a", "Meta title", "new"], ["https://x.com/a", "h1", "x"])
+    got = audits.audit_sheets(sheet, pages).results.collect()
+    assert sorted((r.check_type, r.status) for r in got) == [("Meta title", "passed"), ("h1", "failed")]
+    brief = "<p>Meta Title: new</p><p>-------</p><p>Some text of the page that is long enough.</p>"
+    briefs = spark.createDataFrame([(7, "https://x.com/a", brief), (8, "https://x.com/gone", brief)], "doc_id long, url string, html string")
+    results = audits.audit_content(briefs, pages).collect()
+    assert len({(r.pair_id, r.family, r.seq, r.check_type) for r in results}) == len(results)
+    assert [(r.status, r.family) for r in results if r.pair_id == 8] == [("error", "load")]

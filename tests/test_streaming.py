@@ -58,3 +58,33 @@ def test_regressions_across_micro_batches(spark, tmp_path):
     assert got == {("a", "r0"): "new", ("a", "r1"): "still", ("a", "r2"): "fixed", ("b", "r1"): "new", ("b", "r2"): "still"}
 
 
+
+
+def test_progress_lasts_across_micro_batches(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    batches = [
+        [("b", 1, at(1), 0, "f0", "running", 2), ("b", 2, at(2), 0, "f0", "done", 2)],
+        [("b", 0, at(0), -1, "", "created", 3)],
+        [("b", 3, at(3), 1, "f1", "running", 3)],
+        [("b", 4, at(4), 1, "f1", "pending", 3)],
+        [("b", 5, at(5), 1, "f1", "error", 3), ("b", 6, at(6), 2, "f2", "done", 3)],
+    ]
+    schema = "batch_id string, seq bigint, ts timestamp, idx int, filename string, status string, value bigint"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(spark, jobs.batch_progress(source), tmp_path, "update")
+    assert [(r.completed, r.errored, r.current_filename, r.status) for r in got] == [
+        (1, 0, "f0", "running"), (1, 0, "f1", "running"), (1, 0, "f1", "running"), (3, 1, None, "done"),
+    ]
+
+
+def test_a_run_that_comes_too_late_changes_nothing(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    schema = "source_path string, key string, run_no bigint, run_id string, failing boolean"
+    for n, failing in ((2, True), (1, True), (3, False)):
+        spark.createDataFrame([("s", "a", n, f"r{n}", failing)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r.run_id, r.change) for r in drain(spark, jobs.regression_feed(source), tmp_path)]
+    assert got == [("r2", "new"), ("r3", "fixed")]
