@@ -41,24 +41,30 @@ def local_session(cores: str | int = "*", app: str = "pageproof", **conf: str) -
     return spark
 
 
+_own_folders: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which driver and executors share.
+    A local session without it gets a temporary folder for the life of the
+    process; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        _own_folders.append(tempfile.TemporaryDirectory(prefix="pageproof-shared-"))
+        folder = _own_folders[-1].name
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """The frame as a reliable checkpoint, so that later passes read results
-    instead of repeating the work, and a lost executor costs no recomputation.
-
-    The shared folder comes from ``spark.checkpoint.dir``. Where the session
-    names none, a local session gets a temporary folder; on a cluster the frame
-    is then only persisted, which survives losses by recomputing.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    """The frame as a reliable checkpoint in the shared folder, so that later
+    passes read results instead of repeating the work, and a lost executor costs
+    no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if shared:
-            context.setCheckpointDir(shared)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-        else:
-            return df.persist()
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
