@@ -201,7 +201,23 @@ def lcs_align_invariants(db: Tables):
     )
 
 
-@query()
+# The table of longest common subsequences, row by row: a cell is the best of the
+# row above and, where the items are equal, one more than its upper left, carried
+# on to the right.
+LCS_TABLE = f"""with recursive {SIDES},
+ek as (select page_id, list(key order by idx) as ek from e group by 1), ak as (select page_id, list(key order by idx) as ak from a group by 1),
+both_sides as (select d.page_id, coalesce(ek, []) as ek, coalesce(ak, []) as ak from drafts d left join ek using (page_id) left join ak using (page_id)),
+grown(page_id, i, ek, ak, cells) as (
+  select page_id, 0, ek, ak, list_transform(range(1, len(ak) + 1), lambda j: 0) from both_sides
+  union all
+  select page_id, i + 1, ek, ak, list_transform(range(1, len(ak) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(cells[k], case when ak[k] = ek[i + 1] then coalesce(cells[k - 1], 0) + 1 else 0 end))))
+  from grown where i < len(ek)),
+lengths as (select page_id, len(ek) as n, len(ak) as m, coalesce(list_max(cells), 0) as aligned from grown where i = len(ek))"""
+
+
+@query(f"""{LCS_TABLE}
+select page_id as pair_id, cast(n as int) as n, cast(m as int) as m, cast(aligned as int) as aligned from lengths""")
 def lcs_align_lengths(db: Tables):
     keys = lambda c: F.transform(c, lambda x: t.content_key(x))
     p = paragraph_pairs(db).withColumns({"ek": keys("e_paragraphs"), "ak": keys("a_paragraphs")})
