@@ -199,13 +199,20 @@ def link_types(db: Tables):
     )
 
 
+# Paragraphs of the pages with links put in: one to keep, two that lead nowhere else.
+LINKED = """replace(html, '<p>', '<p><a class="x" href="/l/' || page_id || '?utm_source=a#f">Link <i>' || page_id || '</i></a> ' ||
+  '<a href="mailto:a@b.example">Mail</a> <a href="#top">Top</a> ')"""
+
+
 @query(f"""
-with {d.pieces()},
-link as (select page_id, url, n, unnest(regexp_extract_all(piece, '(?i)<a\\s[^>]*>[\\s\\S]*?</a\\s*>')) as raw from piece where in_scope)
-select page_id, {d.tagless('raw')} as text, {d.normalize_url('''regexp_extract(raw, 'href="([^"]*)"', 1)''', 'url')} as url from link
+with pages as (select page_id, url, {LINKED} as html from main.pages), {d.pieces()},
+link as (select page_id, url, n, unnest(regexp_extract_all(piece, '(?i)<a\\s[^>]*>[\\s\\S]*?</a\\s*>')) as raw from piece where in_scope),
+aim as (select *, regexp_extract(raw, 'href="([^"]*)"', 1) as href from link)
+select page_id, {d.tagless('raw')} as text, {d.normalize_url('href', 'url')} as url from aim
+where not starts_with(href, '#') and not starts_with(href, 'mailto:')
 """)
 def link_extract(db: Tables):
-    body = H.with_body(db.pages)
+    body = H.with_body(db.pages.withColumn("html", F.expr(LINKED)))
     return body.select("page_id", F.explode(H.scoped_links()).alias("l")).select("page_id", "l.text", "l.url")
 
 
