@@ -10,11 +10,15 @@ confirmed on the full sets.
 Work follows the number of documents, not of pairs:
 
 * Equal sets are one node of the links from the start.
-* In a bucket, members are first held against one of them only, its hub, the
-  first by a hash (``HUB_SEEDS`` different ones over the buckets of a document).
-  Their links already join most of a family of copies.
-* Only where a bucket still holds more than one component are the members of
-  different components held against each other, so that no link is lost.
+* In a bucket, members are first held against one of them only, its hub: the one
+  that shares most buckets with others, which is the one with the fewest edits of
+  its own; then against HUB_SEEDS others, the first by a hash. Their links join
+  nearly all of a family of copies.
+* Where a bucket still holds more than one component, its members are joined on
+  the rarest elements of their full sets: two sets of the similarity share one
+  among as many of their rarest as their difference allows, so no link is lost.
+  A member that was edited too much for any link has nothing but elements of its
+  own there, and meets nobody.
 
 With BANDS bands of BAND_ROWS samples, a pair at similarity 0.8 misses all bands
 with probability (1 - 0.8^4)^32 = 5e-8. The sketch turns it away with about
@@ -41,7 +45,7 @@ from pageproof.llm.links import components
 
 BANDS, BAND_ROWS = 32, 4
 SKETCH_WORDS = 16
-HUB_SEEDS = 4
+HUB_SEEDS = 2
 SCREEN = 0.6
 #: Elements of a set that are sampled at a time.
 BLOCK = 512
@@ -158,9 +162,31 @@ def _screened(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     return flat.where(_near_enough(percent)).select(F.col("left").alias("a"), F.col("right").alias("b"))
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members of different components that may be near."""
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+def _across(rest: DataFrame, sets: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be near, among ``rest``
+    (node, component). Elements in one set alone can't be shared and go at once;
+    they count as the rarest of their set."""
+    short = F.xxhash64("node").alias("short")
+    elements = rest.join(sets, "node").select(short, F.explode("elements").alias("element"))
+    spread = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    common = elements.join(spread, "element").groupBy("short")
+    common = common.agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("common"))
+    rows = rest.join(traits, "node").withColumn("short", short).join(common, "short")
+    # Of n elements, so many rarest hold one that a set of the similarity shares.
+    rarest = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1").cast("int")
+    room = rarest - (F.col("n_shingles").cast("int") - F.size("common"))
+    rows = rows.withColumn("room", room).where("room > 0")
+    rarest = F.posexplode(F.slice("common", F.lit(1), F.col("room"))).alias("at", "c")
+    rows = rows.select("node", "component", F.size("common").alias("shared"), rarest)
+    # From an element on, a set has so many that others may share.
+    rows = rows.select("node", "component", F.col("c.element").alias("element"), (F.col("shared") - F.col("at")).alias("left"))
+    rows = stored(rows)
+    ends = rows.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.join(ends.where("low < high").select("element"), "element", "left_semi").join(traits, "node")
+    apart = (F.col("a.element") == F.col("b.element")) & (F.col("a.node") < F.col("b.node"))
+    # At the first element that two sets share, what is left of both bounds all they share.
+    left, sizes = F.least("a.left", "b.left"), F.col("a.n_shingles") + F.col("b.n_shingles")
+    apart = apart & ((100 + percent) * left >= percent * sizes)
     apart = apart & (F.col("a.component") != F.col("b.component")) & _near_enough(percent)
     pairs = rows.alias("a").join(rows.alias("b"), apart)
     return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
@@ -197,19 +223,25 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(rows.join(shared.select("key"), "key", "left_semi").distinct())
     near = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    traits = stored(near.select("node", "rep", "n_shingles", "sketch"))
-    texts = docs.select("doc_id", "text").join(traits.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    near = stored(near.select("node", "rep", "n_shingles", "sketch"))
+    traits = near.drop("rep")
+    texts = docs.select("doc_id", "text").join(near.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.select(shingle_sets(F.col("text"), size).alias("s")).select("s.*").where("node is not null")
     sets = stored(sets.groupBy("node").agg(F.first("elements").alias("elements")))
 
-    def place(seed: int) -> Column:
-        return F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"]
-
-    hubs = stored(members.groupBy("key").agg(*[place(s).alias(f"hub_{s}") for s in range(HUB_SEEDS)]))
+    # How many others a node shares buckets with, each as often as it does.
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degree = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = stored(members.join(degree, "node"))
+    places = [F.max(F.struct("degree", "node"))["node"].alias("hub_0")]
+    for seed in range(1, HUB_SEEDS + 1):
+        first_by_hash = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"]
+        places.append(first_by_hash.alias(f"hub_{seed}"))
+    hubs = stored(ranked.groupBy("key").agg(*places))
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     links = known.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
     labels = components(links)
-    for seeds in ([0], range(1, HUB_SEEDS)):
+    for seeds in ([0], range(1, HUB_SEEDS + 1)):
         chosen = hubs.select("key", F.explode(F.array_distinct(F.array(*[f"hub_{s}" for s in seeds]))).alias("hub"))
         pairs = _labelled(members, labels).join(chosen, "key")
         of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
@@ -220,9 +252,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         labels = components(links)
     at = stored(_labelled(members, labels))
     open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = at.join(open_keys.where("low < high").select("key"), "key", "left_semi").join(traits, "node")
-    rest = stored(rest.select("key", "node", "component", "n_shingles", "sketch"))
-    found = stored(_confirmed(stored(_across(rest, percent)), sets, percent))
+    rest = at.join(open_keys.where("low < high").select("key"), "key", "left_semi").select("node", "component")
+    pairs = stored(_across(stored(rest.distinct()), sets, traits, percent))
+    found = stored(_confirmed(pairs, sets, percent))
     labels = components(links.unionByName(found))
 
     own = nodes.select("node", "rep").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
