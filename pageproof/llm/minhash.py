@@ -225,7 +225,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     near = nodes.join(members.select("node").distinct(), "node", "left_semi")
     near = stored(near.select("node", "rep", "n_shingles", "sketch"))
     traits = near.drop("rep")
-    texts = docs.select("doc_id", "text").join(near.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # These ids grow with the corpus, so they are never broadcast, however few they are here.
+    ids = near.select(F.col("rep").alias("doc_id")).hint("merge")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = texts.select(shingle_sets(F.col("text"), size).alias("s")).select("s.*").where("node is not null")
     sets = stored(sets.groupBy("node").agg(F.first("elements").alias("elements")))
 
