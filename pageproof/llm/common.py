@@ -7,19 +7,17 @@ these six, and ``bytes.lower()`` changes A-Z alone.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.session import ship_package
+from pageproof.session import shared_folder, ship_package
 
 #: Bytes of one Arrow batch, so that very long texts keep workers' memory flat.
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 2000
 
-_own_folders: list[tempfile.TemporaryDirectory] = []
 _stored: list[tuple[SparkSession, str]] = []
 
 
@@ -35,19 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. A local session without it gets
-    a temporary folder for the life of the process; a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local["):
-        _own_folders.append(tempfile.TemporaryDirectory(prefix="pageproof-shared-"))
-        folder = _own_folders[-1].name
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: later passes read
     results, not the work, and a lost executor loses nothing. ``drop_stored``

@@ -46,12 +46,13 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, terms) of every row: tokens between white space, and as
+def featured(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, n_tokens, terms, and columns in ``also``) of every row: tokens between white space, and as
     terms the lower-cased words and marks of form. Null texts have neither."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select("doc_id", *also, F.coalesce("text", F.lit("")).alias("text"))
     parts = text.select(
         "doc_id",
+        *also,
         F.size(F.array_remove(F.split("text", _SPACE), "")).cast("long").alias("n_tokens"),
         F.array_remove(F.split(F.lower("text"), _BREAKS), "").alias("words"),
         F.length("text").alias("n_chars"),
@@ -66,7 +67,7 @@ def featured(docs: DataFrame) -> DataFrame:
         "#short": F.col("n_tokens") < 12,
     }
     shown = F.filter(F.array(*[F.when(c, F.lit(m)) for m, c in marks.items()]), lambda m: m.isNotNull())
-    return parts.select("doc_id", "n_tokens", F.concat("words", shown).alias("terms"))
+    return parts.select("doc_id", *also, "n_tokens", F.concat("words", shown).alias("terms"))
 
 
 @dataclass(frozen=True)
@@ -78,13 +79,15 @@ class Classifier:
     weights: dict[str, tuple[float, ...]]
 
 
-def learn(rows: DataFrame, labels: DataFrame) -> Classifier:
-    """From ``featured`` rows and labels (doc_id, quality, toxic): the first
+def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """From documents and labels (doc_id, quality, toxic): the first
     SAMPLE_ROWS labelled ids by a hash, which are all that is broadcast. Without
     labels, no domain is likelier than another."""
     labelled = labels.select("doc_id", domain_of().alias("domain")).where("doc_id is not null and domain is not null")
     sample = F.broadcast(labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "domain").limit(SAMPLE_ROWS))
-    known = stored(rows.join(sample, "doc_id").select("domain", F.array_distinct("terms").alias("terms")))
+    # Texts of the sample alone are split into terms.
+    rows = featured(docs.select("doc_id", "text").join(sample, "doc_id"), "domain")
+    known = stored(rows.select("domain", F.array_distinct("terms").alias("terms")))
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     n = [sizes.get(d, 0) for d in DOMAINS]
     total = sum(n)
@@ -189,8 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """One row per row of ``docs``: doc_id, n_tokens, posteriors, the likeliest
     domain, rate, and copies to draw. Null texts have no tokens; what the
     classifier makes of a document without terms holds for them."""
-    rows = featured(docs)
-    soft = stored(posteriors(rows, learn(rows, labels)))
+    soft = stored(posteriors(featured(docs), learn(docs, labels)))
     fitted = rates(soft, weights or WEIGHTS, most)
     top = F.greatest(*[f"p_{d}" for d in DOMAINS])
     domain = F.coalesce(*[F.when(F.col(f"p_{d}") == top, F.lit(d)) for d in DOMAINS])
