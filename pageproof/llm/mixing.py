@@ -27,6 +27,8 @@ from pageproof.llm.common import stored
 DOMAINS = ("good", "low", "toxic")
 #: Token shares aimed at.
 WEIGHTS = {"good": 0.93, "low": 0.05, "toxic": 0.02}
+#: The domain of which nothing is thinned out where documents are drawn once at most.
+KEPT = "good"
 #: Labelled rows that the classifier learns from at most.
 SAMPLE_ROWS = 6000
 #: Terms of the classifier at most; each occurs in LEAST_ROWS rows of the sample
@@ -73,16 +75,19 @@ def featured(docs: DataFrame, *also: str) -> DataFrame:
 @dataclass(frozen=True)
 class Classifier:
     """``start`` is the log odds of each domain for a document without terms,
-    ``weights`` what each term adds to them."""
+    ``weights`` what each term adds to them; ``known`` are the domains that some
+    row of the sample is labelled with."""
 
     start: tuple[float, ...]
     weights: dict[str, tuple[float, ...]]
+    known: tuple[str, ...] = DOMAINS
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """From documents and labels (doc_id, quality, toxic): the first
-    SAMPLE_ROWS labelled ids by a hash, which are all that is broadcast. Without
-    labels, no domain is likelier than another."""
+    SAMPLE_ROWS labelled ids by a hash, which are all that is broadcast. A domain
+    without a labelled row has no document; without labels, no domain is likelier
+    than another."""
     labelled = labels.select("doc_id", domain_of().alias("domain")).where("doc_id is not null and domain is not null")
     sample = F.broadcast(labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "domain").limit(SAMPLE_ROWS))
     # Texts of the sample alone are split into terms.
@@ -92,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     n = [sizes.get(d, 0) for d in DOMAINS]
     total = sum(n)
     if not total:
-        return Classifier((0.0,) * len(DOMAINS), {})
+        return Classifier((0.0,) * len(DOMAINS), {}, ())
     found = known.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
     )
@@ -108,7 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
         share = [(row[d] + 0.5) / (size + 1) for d, size in zip(DOMAINS, n, strict=True)]
         weights[row["term"]] = tuple(math.log(p / (1 - p)) for p in share)
         start = [s + math.log(1 - p) for s, p in zip(start, share, strict=True)]
-    return Classifier(tuple(start), weights)
+    start = [s if size else -math.inf for s, size in zip(start, n, strict=True)]
+    return Classifier(tuple(start), weights, tuple(d for d, size in zip(DOMAINS, n, strict=True) if size))
 
 
 def posteriors(rows: DataFrame, fitted: Classifier) -> DataFrame:
@@ -143,12 +149,33 @@ def _largest_eigenvalue(matrix: list[list[float]], steps: int = 100) -> float:
     return size
 
 
+def _targets(whole: dict[str, float], share: dict[str, float], most: float) -> dict[str, float]:
+    """Tokens aimed at in each domain of ``share``, as shares of all tokens;
+    ``whole`` are the tokens there are. Where ``most`` is 1 at most, every token of
+    KEPT is wanted, and the shares of the others are upper ones: a domain that is
+    rarer stays whole, and only those above their share are thinned out to it."""
+    total = sum(whole.values())
+    have = {d: whole[d] * most / total for d in share}
+    if most > 1 or not share.get(KEPT) or not have[KEPT]:
+        room = min((have[d] / share[d] for d in share if share[d] and have[d]), default=1.0)
+        return {d: share[d] * min(1.0, room) for d in share}
+    above: set[str] = set()
+    while True:
+        # Tokens of the mix if those above their share come down to it; that makes
+        # the mix smaller, so others may now be above theirs.
+        mixed = sum(have[d] for d in share if d not in above) / (1 - sum(share[d] for d in above))
+        more = {d for d in share if d != KEPT and d not in above and have[d] > share[d] * mixed}
+        if not more:
+            return {d: share[d] * mixed if d in above else have[d] for d in share}
+        above |= more
+
+
 def rates(soft: DataFrame, weights: dict[str, float], most: float, tolerance: float = 1e-4, steps: int = 60) -> DataFrame:
     """``soft`` (doc_id, n_tokens, p_<domain>...) with ``rate``. The targets are
-    shares of all tokens; where ``most`` is 1, of as many tokens as can have these
-    shares without repeating any. The fit ends when every domain's expected total
-    is within ``tolerance`` of its target (as a share of all tokens), no longer
-    moves, or after ``steps``. Without tokens every rate is 1, or ``most`` if less."""
+    shares of all tokens, for the domains in ``weights``; where ``most`` is 1, see
+    ``_targets``. The fit ends when every domain's expected total is within
+    ``tolerance`` of its target (as a share of all tokens), no longer moves, or
+    after ``steps``. Without tokens or weights every rate is 1, or ``most`` if less."""
     p = {d: F.col(f"p_{d}") for d in DOMAINS}
     tokens = F.col("n_tokens").cast("double")
     pairs = {f"{a}_{b}": F.sum(tokens * p[a] * p[b]) for a in DOMAINS for b in DOMAINS}
@@ -156,11 +183,11 @@ def rates(soft: DataFrame, weights: dict[str, float], most: float, tolerance: fl
     total = sum(whole[d] or 0.0 for d in DOMAINS)
     begin = min(1.0, most)
     state = soft.withColumn("rate", F.lit(begin))
-    if not total:
+    if not total or not weights:
         return state
-    share = {d: weights[d] / sum(weights.values()) for d in DOMAINS}
-    room = min((whole[d] * most / (share[d] * total) for d in DOMAINS if share[d] and whole[d]), default=1.0)
-    targets = {d: share[d] * min(1.0, room) for d in DOMAINS}
+    every = sum(weights.values())
+    share = {d: w / every if every else 0.0 for d, w in weights.items()}
+    targets = {d: 0.0 for d in DOMAINS} | _targets({d: whole[d] for d in DOMAINS}, share, most)
     own = {d: whole[f"{d}_{d}"] / total for d in DOMAINS}
     scale = {d: 1 / own[d] if own[d] > 0 else 0.0 for d in DOMAINS}
     moments = [[whole[f"{a}_{b}"] / total * math.sqrt(scale[a] * scale[b]) for b in DOMAINS] for a in DOMAINS]
@@ -192,8 +219,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """One row per row of ``docs``: doc_id, n_tokens, posteriors, the likeliest
     domain, rate, and copies to draw. Null texts have no tokens; what the
     classifier makes of a document without terms holds for them."""
-    soft = stored(posteriors(featured(docs), learn(docs, labels)))
-    fitted = rates(soft, weights or WEIGHTS, most)
+    model = learn(docs, labels)
+    soft = stored(posteriors(featured(docs), model))
+    wanted = weights or WEIGHTS
+    fitted = rates(soft, {d: wanted[d] for d in model.known}, most)
     top = F.greatest(*[f"p_{d}" for d in DOMAINS])
     domain = F.coalesce(*[F.when(F.col(f"p_{d}") == top, F.lit(d)) for d in DOMAINS])
     return fitted.select(
@@ -203,8 +232,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents drawn at rates of 1 at most, so none twice, with all their
-    columns. Rates of SURE or more draw for certain, so that no document of the
-    scarcest domain is lost to rounding. Rows with a null id stay."""
+    columns. Rates of SURE or more draw for certain, so that no document of a domain
+    that stays whole is lost to rounding. Rows with a null id stay."""
     drawn = mix(docs, labels, weights, most=1.0).where((F.col("copies") > 0) | (F.col("rate") >= SURE))
     drawn = drawn.where("doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(drawn, "doc_id", "left_semi")

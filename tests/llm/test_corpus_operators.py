@@ -224,3 +224,31 @@ def test_mixing_of_odd_rows(docs, llm):
     drawn = mixing.mixed_documents(frame, labels)
     assert drawn.columns == frame.columns and None in [r["doc_id"] for r in drawn.collect()]
     assert mixing.mix(docs([]), labels.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("n_toxic", "labelled"), [(0, True), (2, True), (4, True), (20, True), (4, False)])
+def test_good_documents_stay_however_rare_the_others_are(docs, llm, n_toxic, labelled):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        kind = "vile" if i < n_toxic else "junk" if i < n_toxic + 40 else "plain"
+        rows.append((i, " ".join(rng.choice([kind + str(rng.randrange(3)), "the", "of"]) for _ in range(50))))
+        labels.append((i, int(kind != "junk"), int(kind == "vile")))
+    table = llm.createDataFrame(labels if labelled else [], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in mixing.mixed_documents(docs(rows), table).collect()}
+    toxic, low, good = (len([i for i in got if a <= i < b]) for a, b in ((0, n_toxic), (n_toxic, n_toxic + 40), (n_toxic + 40, 400)))
+    assert good == 360 - n_toxic
+    if not labelled:
+        assert (toxic, low) == (n_toxic, 40)
+    else:
+        # Toxic ones stay up to their 2 %, low ones are thinned out to about 5 %.
+        assert toxic == n_toxic if n_toxic <= 4 else toxic < n_toxic
+        assert 8 <= low <= 32
+
+
+def test_targets_take_the_shares_of_rare_domains_as_upper_ones():
+    share = {"good": 0.93, "low": 0.05, "toxic": 0.02}
+    got = mixing._targets({"good": 890.0, "low": 100.0, "toxic": 10.0}, share, 1.0)
+    assert got["good"] == 0.89 and got["toxic"] == 0.01 and abs(got["low"] - 0.05 * sum(got.values())) < 1e-12
+    got = mixing._targets({"good": 700.0, "low": 200.0, "toxic": 100.0}, share, 1.0)
+    assert all(abs(got[d] - share[d] * 0.7 / 0.93) < 1e-12 for d in share)
