@@ -6,6 +6,7 @@ a sink; state is keyed so that it spreads, and expires so that it stays small.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,61 +62,110 @@ def first_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str =
 
 class BatchProgress(StatefulProcessor):
     """Progress of a batch. Events: created (value = item count), running,
-    done, error, aborted; any other is ignored. Totals move only on the first
-    settlement of an item, also of one that arrives before its batch's "created".
-    The item last begun is kept from one micro-batch to the next. Two hours after
-    its last event, a batch is dropped, finished or not. Rows are taken chunk by
-    chunk, so a large batch is never held whole."""
+    done, error, aborted; any other is ignored. What a batch comes to depends on
+    its events alone, ordered by (ts, seq), and not on the order they arrive in:
+    state keeps the first "created" and "aborted", the last "running", and the
+    first settlement of each item. Only as many settlements as the batch has items
+    count, and none after "aborted", which fails the items left. What arrives
+    before its batch's "created" waits for it. A batch is dropped two hours after
+    it finished, never before. Rows are taken chunk by chunk, so a large batch is
+    never held whole."""
+
+    FIELDS = {
+        "total": "bigint", "created_us": "bigint", "created_seq": "bigint", "aborted_us": "bigint", "aborted_seq": "bigint",
+        "running_us": "bigint", "running_seq": "bigint", "current": "string", "settled": "bigint", "errored": "bigint",
+        "finished_us": "bigint",
+    }
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "total bigint, settled bigint, errored bigint, closed boolean, current string, last_ms bigint")
-        self.settled = handle.getMapState("settled", "idx int", "status string")
+        self.totals = handle.getValueState("totals", ", ".join(f"{name} {kind}" for name, kind in self.FIELDS.items()))
+        self.settled = handle.getMapState("settled", "idx int", "us bigint, seq bigint, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A total of -1: not created yet.
-        state = list(self.totals.get()) if self.totals.exists() else [-1, 0, 0, False, None, 0]
+        state = dict.fromkeys(self.FIELDS) | {"settled": 0, "errored": 0}
+        if self.totals.exists():
+            state = dict(zip(self.FIELDS, self.totals.get(), strict=True))
         for chunk in rows:
-            for e in chunk.sort_values(["ts", "seq"]).itertuples(index=False):
-                self._take(state, e)
-        if state[0] >= 0 and state[1] >= state[0]:
-            state[3] = True
-        self.totals.update(tuple(state))
-        self.handle.registerTimer(state[5] + RETENTION_MS)
-        if state[0] < 0:
+            self._take(state, chunk)
+        completed, errored = self._counted(state)
+        self.totals.update(tuple(state.values()))
+        finished = state["finished_us"] is not None
+        if finished:
+            self.handle.registerTimer(self._expiry_ms(state))
+        if state["total"] is None:
             return
         yield pd.DataFrame(
             {
                 "batch_id": [key[0]],
-                "total": [state[0]],
-                "completed": [state[1]],
-                "errored": [state[2]],
-                "current_filename": [None if state[3] else state[4]],
-                "status": ["done" if state[3] else "running"],
+                "total": [state["total"]],
+                "completed": [completed],
+                "errored": [errored],
+                "current_filename": [None if finished else state["current"]],
+                "status": ["done" if finished else "running"],
             }
         )
 
-    def _take(self, state: list, e) -> None:
-        state[5] = max(state[5], int(e.ts.timestamp() * 1000))
-        if e.status == "created":
-            if state[0] < 0:
-                state[0] = int(e.value)
-        elif state[3]:
-            return
-        elif e.status == "aborted" and state[0] >= 0:
-            # Whatever has not settled counts as failed.
-            state[1:4] = [state[0], state[2] + state[0] - state[1], True]
-        elif e.status == "running":
-            state[4] = e.filename
-        elif e.status in ("done", "error") and not self.settled.containsKey((int(e.idx),)):
-            self.settled.updateValue((int(e.idx),), (e.status,))
-            state[1] += 1
-            state[2] += e.status == "error"
-            state[3] = 0 <= state[0] <= state[1]
+    def _take(self, state: dict, chunk: pd.DataFrame) -> None:
+        us = [t.value // 1000 for t in chunk["ts"]]
+        chunk = chunk.assign(us=us).sort_values(["us", "seq"])
+        of = {status: own for status, own in chunk.groupby("status", sort=False)}
+        for status in ("created", "aborted", "running"):
+            if status not in of:
+                continue
+            e = of[status].iloc[-1 if status == "running" else 0]
+            at, known = (int(e.us), int(e.seq)), (state[f"{status}_us"], state[f"{status}_seq"])
+            if known[0] is not None and (at <= known if status == "running" else at >= known):
+                continue
+            state[f"{status}_us"], state[f"{status}_seq"] = at
+            if status == "created":
+                state["total"] = int(e.value)
+            elif status == "running":
+                state["current"] = e.filename
+        for e in chunk[chunk["status"].isin(["done", "error"])].drop_duplicates("idx").itertuples(index=False):
+            item, at = (int(e.idx),), (int(e.us), int(e.seq))
+            known = tuple(self.settled.getValue(item)) if self.settled.containsKey(item) else None
+            if known and known[:2] <= at:
+                continue
+            self.settled.updateValue(item, (*at, e.status))
+            state["settled"] += known is None
+            state["errored"] += (e.status == "error") - (known is not None and known[2] == "error")
+
+    def _counted(self, state: dict) -> tuple[int, int]:
+        """Completed and failed items; sets ``finished_us``. Items are read again
+        only where the batch has finished."""
+        total, aborted = state["total"], (state["aborted_us"], state["aborted_seq"])
+        state["finished_us"] = None
+        if total is None or (aborted[0] is None and state["settled"] < total):
+            return state["settled"], state["errored"]
+
+        def items() -> Iterator[tuple]:
+            every = (tuple(value) for _, value in self.settled.iterator())
+            return (v for v in every if aborted[0] is None or v[:2] < aborted)
+
+        n = errored = 0
+        last = state["created_us"]
+        for us, _, status in items():
+            n, errored, last = n + 1, errored + (status == "error"), max(last, us)
+        if n > total:
+            first = heapq.nsmallest(total, items())
+            n, errored = total, sum(status == "error" for _, _, status in first)
+            last = max([state["created_us"], *(us for us, _, _ in first[-1:])])
+        if n < total:
+            errored, last = errored + total - n, max(state["created_us"], aborted[0])
+        state["finished_us"] = last
+        return total, errored
+
+    @staticmethod
+    def _expiry_ms(state: dict) -> int:
+        return state["finished_us"] // 1000 + RETENTION_MS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later event has set a later timer.
-        if self.totals.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.totals.get()[5] + RETENTION_MS:
+        if not self.totals.exists():
+            return iter([])
+        state = dict(zip(self.FIELDS, self.totals.get(), strict=True))
+        # A timer of an earlier finish than the one now known does not count.
+        if state["finished_us"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._expiry_ms(state):
             self.totals.clear()
             self.settled.clear()
         return iter([])

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 
 from pageproof.streaming import jobs
@@ -88,3 +89,57 @@ def test_a_run_that_comes_too_late_changes_nothing(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = [(r.run_id, r.change) for r in drain(spark, jobs.regression_feed(source), tmp_path)]
     assert got == [("r2", "new"), ("r3", "fixed")]
+
+
+EVENTS = "batch_id string, seq bigint, ts timestamp, idx int, filename string, status string, value bigint"
+
+
+def progress_of(spark, tmp_path, batches):
+    """Rows of the progress of events that arrive in these micro-batches."""
+    jobs.use_rocksdb(spark)
+    for rows in batches:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return drain(spark, jobs.batch_progress(source), tmp_path, "update")
+
+
+def test_progress_of_many_events_does_not_depend_on_their_order(spark, tmp_path):
+    at = lambda n: T0 + dt.timedelta(milliseconds=10 * n)
+    rows = []
+    for b in ("left", "aborted"):
+        rows.append((b, 0, at(0), -1, "", "created", 3000))
+        for i in range(2500):
+            rows.append((b, 2 * i + 1, at(2 * i + 1), i, f"f{i}", "running", 3000))
+            rows.append((b, 2 * i + 2, at(2 * i + 2), i, f"f{i}", "error" if i % 5 == 0 else "done", 3000))
+        # A second settlement of an item counts for nothing.
+        rows.append((b, 9000, at(9000), 1, "f1", "error", 3000))
+    rows.append(("aborted", 2001, at(2000), -1, "", "aborted", 3000))
+    random.Random(3).shuffle(rows)
+    got = {r.batch_id: r for r in progress_of(spark, tmp_path, [rows])}
+    left, aborted = got["left"], got["aborted"]
+    assert (left.completed, left.errored, left.current_filename, left.status) == (2500, 500, "f2499", "running")
+    assert (aborted.completed, aborted.errored, aborted.current_filename, aborted.status) == (3000, 200 + 2000, None, "done")
+
+
+def test_early_aborts_and_earlier_settlements_count(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    batches = [
+        [("b", 3, at(3), -1, "", "aborted", 2)],
+        [("b", 0, at(0), -1, "", "created", 2)],
+        [("b", 2, at(2), 0, "f0", "done", 2)],
+        [("b", 4, at(4), 1, "f1", "done", 2)],
+    ]
+    got = [(r.completed, r.errored, r.status) for r in progress_of(spark, tmp_path, batches)]
+    assert got == [(2, 2, "done"), (2, 1, "done"), (2, 1, "done")]
+
+
+def test_only_finished_batches_are_dropped(spark, tmp_path):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    batches = [
+        [("b", 0, at(0), -1, "", "created", 2), ("b", 1, at(0), 0, "f0", "done", 2), ("c", 0, at(0), -1, "", "created", 1), ("c", 1, at(0), 0, "g", "error", 1)],
+        [("x", 0, at(9), 0, "x", "running", 1)],
+        [("x", 1, at(10), 0, "x", "running", 1)],
+        [("b", 2, at(11), 1, "f1", "done", 2), ("c", 2, at(11), -1, "", "created", 4)],
+    ]
+    got = [(r.batch_id, r.total, r.completed, r.errored, r.status) for r in progress_of(spark, tmp_path, batches)]
+    assert sorted(got) == [("b", 2, 1, 0, "running"), ("b", 2, 2, 0, "done"), ("c", 1, 1, 1, "done"), ("c", 4, 0, 0, "running")]
