@@ -48,7 +48,7 @@ _KEY_ID = re.compile(
     r"""(?:access|client|account|user|login|key)[_-]?(?:id|name)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""",
     re.IGNORECASE | re.ASCII,
 )
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.:-]*://[^\s"'<>]+""")
 _BLANK = re.compile(r"\n[ \t]*\n")
 

@@ -219,3 +219,12 @@ def test_automaton_of_a_small_merge_list_equals_plain_merging():
                         parts[i : i + 2] = [x + y]
                     i += 1
             assert own.encode_word("".join(letters)) == [vocab[p] for p in parts]
+
+
+@pytest.mark.parametrize("size", [20, 128, 129, 5000])
+def test_bare_secrets_of_any_length_are_linked(docs, size):
+    bare = ("q7Rk2LmX9pVb4TzW8yAa" * 250)[:size]
+    access, key, url = "AKIAABCDEFGHIJKLMN", "client_id = shop-7", "https://api.example.com/v1"
+    assert secrets.scan_text(f"{access} {bare}") == [(0, 18, 1), (19, 19 + size, 4)]
+    assert [secrets.KINDS[s[2]] for s in secrets.scan_text(f"{url} {key} {bare}")] == ["endpoint", "key_id", "bare"]
+    assert secrets.redact(docs([f"{access} {bare} end"])).first()["text"] == "[REDACTED] [REDACTED] end"
