@@ -9,10 +9,12 @@ A vector has two parts:
 
 * ``EQUAL_LANES`` lanes modulo 2^32 from a hash of the whole paragraph: equal
   multisets of paragraphs have equal sums, others differ (512 bits).
-* ``LIKE_LANES`` lanes modulo 2^16 that sum a random sign for each pair of
+* ``LIKE_LANES`` lanes modulo 2^32 that sum a random sign for each pair of
   neighbouring words (a paragraph of one word: that word). For the sums u, v of
   two texts, the mean square of u - v estimates the squared distance of their
-  word-pair counts, so fingerprints alone tell how alike two texts are.
+  word-pair counts, so fingerprints alone tell how alike two texts are. A text
+  holds less than 2^31 word pairs, so its sums, as signed numbers, are the true
+  ones. They are stored in 2 bytes each where all of them fit, else in 4.
 
 Null counts as empty. A paragraph without words adds nothing to the second part,
 and a text without paragraphs, the empty one, has the zero vector.
@@ -21,6 +23,7 @@ and a text without paragraphs, the empty one, has the zero vector.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 
 EQUAL_LANES = 16
 LIKE_LANES = 128
+#: Of a packed fingerprint with 2 or 4 bytes for each lane of the second part.
+NARROW_BYTES, WIDE_BYTES = 4 * EQUAL_LANES + 2 * LIKE_LANES, 4 * EQUAL_LANES + 4 * LIKE_LANES
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -82,22 +87,19 @@ def vector(text: str | None) -> np.ndarray:
     lanes = np.frombuffer(digests, dtype="<u4").reshape(-1, EQUAL_LANES)
     total[:EQUAL_LANES] = lanes.sum(axis=0, dtype=np.uint32)
     total[EQUAL_LANES:] = _signs(paragraphs).astype(np.uint32)
-    return total & _lane_masks()
-
-
-def _lane_masks() -> np.ndarray:
-    return np.repeat(np.array([0xFFFFFFFF, 0xFFFF], dtype=np.uint32), [EQUAL_LANES, LIKE_LANES])
+    return total
 
 
 def packed(lanes: np.ndarray) -> bytes:
-    return lanes[:EQUAL_LANES].astype("<u4").tobytes() + lanes[EQUAL_LANES:].astype("<u2").tobytes()
+    """The lanes as bytes, the same for equal lanes: the second part in 2 bytes a
+    lane where every lane fits."""
+    like = lanes[EQUAL_LANES:].astype("<u4").view("<i4")
+    narrow = like.astype("<i2")
+    return lanes[:EQUAL_LANES].astype("<u4").tobytes() + (narrow if (narrow == like).all() else like).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    lanes = np.empty(EQUAL_LANES + LIKE_LANES, dtype=np.uint32)
-    lanes[:EQUAL_LANES] = np.frombuffer(data, dtype="<u4", count=EQUAL_LANES)
-    lanes[EQUAL_LANES:] = np.frombuffer(data, dtype="<u2", offset=4 * EQUAL_LANES)
-    return lanes
+    return _rows([data])[0].astype(np.uint32)
 
 
 def edited(data: bytes, insert: list[str] = (), delete: list[str] = ()) -> bytes:
@@ -107,29 +109,36 @@ def edited(data: bytes, insert: list[str] = (), delete: list[str] = ()) -> bytes
         lanes = lanes + paragraph_vector(paragraph.encode())
     for paragraph in delete:
         lanes = lanes - paragraph_vector(paragraph.encode())
-    return packed(lanes & _lane_masks())
+    return packed(lanes)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rowwise likeness (0 to 1) of fingerprints, one packed fingerprint a row:
+    """Rowwise likeness (0 to 1) of fingerprints, the lanes of one a row:
     one less the squared distance over the sum of squared sizes. Equal
     fingerprints have 1; two that hold no word pair are alike only if equal."""
-    offset = 4 * EQUAL_LANES
-    u = np.ascontiguousarray(a[:, offset:]).view("<i2").astype(np.float64)
-    v = np.ascontiguousarray(b[:, offset:]).view("<i2").astype(np.float64)
-    apart = np.ascontiguousarray(a[:, offset:]).view("<u2") - np.ascontiguousarray(b[:, offset:]).view("<u2")
-    apart = apart.view("<i2").astype(np.float64)
+    u, v = (x[:, EQUAL_LANES:].astype(np.float64) for x in (a, b))
+    apart = u - v
     size = (u * u).sum(1) + (v * v).sum(1)
     like = np.clip(1 - (apart * apart).sum(1) / np.where(size > 0, size, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, np.where(size > 0, like, 0.0))
 
 
-def _rows(values: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+def _rows(values: Iterable[bytes]) -> np.ndarray:
+    """The lanes of packed fingerprints, one a row; those of the second part signed."""
+    values = list(values)
+    lanes = np.empty((len(values), EQUAL_LANES + LIKE_LANES), dtype=np.int64)
+    sizes = np.array([len(v) for v in values])
+    for size, kind in ((NARROW_BYTES, "<i2"), (WIDE_BYTES, "<i4")):
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join([values[i] for i in at]), dtype=np.uint8).reshape(len(at), size)
+        offset = 4 * EQUAL_LANES
+        lanes[at, :EQUAL_LANES] = np.ascontiguousarray(raw[:, :offset]).view("<u4")
+        lanes[at, EQUAL_LANES:] = np.ascontiguousarray(raw[:, offset:]).view(kind)
+    return lanes
 
 
 def fingerprint(text: Column) -> Column:
-    """The packed fingerprint of a text, binary of 4 * EQUAL_LANES + 2 * LIKE_LANES bytes."""
+    """The packed fingerprint of a text, binary of NARROW_BYTES or WIDE_BYTES bytes."""
 
     @F.pandas_udf("binary")
     def computed(texts: pd.Series) -> pd.Series:

@@ -228,3 +228,24 @@ def test_bare_secrets_of_any_length_are_linked(docs, size):
     assert secrets.scan_text(f"{access} {bare}") == [(0, 18, 1), (19, 19 + size, 4)]
     assert [secrets.KINDS[s[2]] for s in secrets.scan_text(f"{url} {key} {bare}")] == ["endpoint", "key_id", "bare"]
     assert secrets.redact(docs([f"{access} {bare} end"])).first()["text"] == "[REDACTED] [REDACTED] end"
+
+
+def test_likeness_of_texts_with_many_equal_word_pairs():
+    def near(m, n):
+        a, b = (fingerprints._rows([fingerprints.packed(fingerprints.vector("word " * (k + 1)))]) for k in (m, n))
+        return fingerprints.likeness(a, b)[0]
+
+    for m, n in ((200_000, 100_000), (65_536, 65_000), (70_000, 5), (32_767, 32_768)):
+        assert abs(near(m, n) - (1 - (m - n) ** 2 / (m * m + n * n))) < 1e-9
+    many = fingerprints.packed(fingerprints.vector("word " * 70_000))
+    few = fingerprints.packed(fingerprints.vector("x y"))
+    both = fingerprints.packed(fingerprints.vector("word " * 70_000 + "\nx y"))
+    assert fingerprints.edited(many, insert=["x y"]) == both
+    # Taking paragraphs out again gives the bytes that the rest has on its own.
+    assert fingerprints.edited(both, delete=["word " * 70_000]) == few
+
+
+def test_likeness_of_columns_of_mixed_size(docs):
+    rows = by_id(fingerprints.compare_edited(docs([(1, "word " * 70_001), (2, "word " * 65_001), (3, "a b"), (4, None)])))
+    assert rows[1]["near_next"] == pytest.approx(1 - 5000**2 / (70_000**2 + 65_000**2))
+    assert rows[2]["near_next"] < 0.01 and rows[4]["near_next"] == 0
