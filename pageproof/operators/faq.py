@@ -162,10 +162,14 @@ def unresolved_faqs(runs: DataFrame) -> DataFrame:
 
 def unresolved_results(unresolved: DataFrame) -> DataFrame:
     """Warning results for runs that name no page."""
+    return unresolved.select(*unresolved_columns())
+
+
+def unresolved_columns() -> list[Column]:
     n = F.concat(
         F.col("faq_count").cast("string"), F.when(F.col("faq_count") == 1, F.lit(" FAQ")).otherwise(F.lit(" FAQs"))
     )
-    return unresolved.select(
+    return [
         F.col("label").alias("url"),
         F.lit("FAQ (skipped)").alias("check_type"),
         F.lit("warning").alias("status"),
@@ -180,7 +184,7 @@ def unresolved_results(unresolved: DataFrame) -> DataFrame:
             F.lit("). Add a real link in the sheet and re-run to test this page's FAQs."),
         ).alias("actual"),
         F.concat(n, F.lit(" could not be tested.")).alias("message"),
-    )
+    ]
 
 
 def _named(kind: str, question) -> Column:

@@ -155,3 +155,28 @@ def test_the_latest_snapshot_alone_counts(spark):
     results = audits.audit_content(briefs, pages).collect()
     assert len({(r.pair_id, r.family, r.seq, r.check_type) for r in results}) == len(results)
     assert [(r.status, r.family) for r in results if r.pair_id == 8] == [("error", "load")]
+
+
+def test_faq_sheets_are_told_first_and_checked_by_themselves(spark):
+    a, b = "https://x.com/a", "https://x.com/b"
+    schema = "sheet_id int, row_no int, col_no int, value string, hyperlink string"
+    rows = [(1, 1, c, v, None) for c, v in enumerate(["URL", "Issue", "Expected"])] + [(1, 2, c, v, None) for c, v in enumerate([a, "Meta title", "T"])]
+    for sheet, faqs in ((2, [("A", a, "Why?", "Because"), ("A", a, "Gone?", "x")]), (3, [("A", a, "Why?", "No"), ("B", b, "How?", "So"), ("C", None, "Who?", "We")])):
+        rows += [(sheet, 1, c, v, None) for c, v in enumerate(["URL", "FAQs", "Answer"])]
+        for n, (label, link, q, answer) in enumerate(faqs):
+            rows += [(sheet, n + 2, 0, label, link), (sheet, n + 2, 1, q, None), (sheet, n + 2, 2, answer, None)]
+    pages = spark.createDataFrame([(1, a, "<title>T</title><body><details><summary>Why?</summary>Because</details></body>")], "page_id long, url string, html string")
+    table = spark.createDataFrame(rows, schema)
+    got = sorted((r.sheet_id, r.check_type, r.status) for r in audits.audit_sheets(table, pages).results.collect())
+    assert got == [
+        (1, "Meta title", "passed"), (2, 'FAQ: "Gone?"', "failed"), (2, 'FAQ: "Why?"', "passed"),
+        (3, "FAQ (page load failed)", "warning"), (3, "FAQ (skipped)", "warning"), (3, 'FAQ: "Why?"', "failed"),
+    ]
+    errors = spark.createDataFrame([(a, "timeout")], "url string, error string")
+    failed = [r for r in audits.audit_sheets(table, pages, load_errors=errors).results.collect() if r.sheet_id == 2]
+    assert [(r.url, r.status) for r in failed] == [(a, "warning")] and "timeout" in failed[0].message
+    seen = audits.preview_sheets(table)
+    modes = {r.sheet_id: (r.mode, r.row_count, r.faq_page_count, r.faq_count) for r in seen.sheets.collect()}
+    assert modes[2] == ("faq", 2, 1, 2) and modes[3] == ("faq", 2, 2, 2) and modes[1][0] != "faq" and modes[1][1:] == (1, None, None)
+    assert sorted((r.sheet_id, r.url) for r in seen.urls.collect()) == [(1, a), (2, a), (3, a), (3, b)]
+    assert [(r.sheet_id, r.label) for r in seen.unresolved.collect()] == [(3, "C")]
