@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, fingerprints, langid, minhash, mixing, quality, secrets, substrings, toxicity, urlrules
+from pageproof.llm import bpe, centroids, fingerprints, langid, minhash, mixing, packing, quality, secrets, substrings, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -154,3 +155,42 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Rounds of exact assignment and replacement, one pair of tables each."""
+    gap = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(k.q, c.q)])"
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} as materialized (
+    select row_id, vec_id, arg_min(c, (d, c)) as c, min(d) as d
+    from (select k.row_id, k.vec_id, c.c, cast({gap} as bigint) as d from kept k, c{r} c) group by row_id, vec_id)""")
+        if r < rounds:
+            out.append(f"""
+m{r} as (select c, i, sum(q[i]) as s, count(*) as n from a{r} join kept using (row_id), range(1, 65) t(i) group by c, i),
+n{r} as (select c, list((s - (((s % n) + n) % n)) // n order by i) as q from m{r} group by c),
+c{r + 1} as materialized (select c.c, coalesce(n{r}.q, c.q) as q from c{r} c left join n{r} using (c))""")
+    return ",".join(out)
+
+
+@query(f"""
+with kept as materialized (
+    select row_number() over () as row_id, vec_id, [cast(floor(256 * cast(x as double)) as hugeint) for x in embedding] as q
+    from embeddings
+    where len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+c0 as materialized (
+    select row_number() over (order by sha256('2:' || vec_id), q) - 1 as c, q
+    from kept where vec_id is not null order by c limit 40),{_rounds_sql(5)},
+final as (select c, sha256(array_to_string(q, ',')) as centroid_sha256 from c5)
+select vec_id, cast(c as int) as cluster, d as distance,
+    cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from a5 join final using (c)
+""")
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
