@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageproof.llm import bpe, centroids, fingerprints, langid, minhash, mixing, packing, quality, secrets, substrings, toxicity, urlrules
+from pageproof.llm import bpe, centroids, fingerprints, langid, minhash, mixing, packing, prefixes, quality, secrets, substrings, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -194,3 +194,41 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("""
+with recursive ranked as (
+    select conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as x,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+    from conversations where conv_id is not null),
+convs as (select conv_id, list(x order by pos) as own, cast(conv_id as varchar) as digits from ranked group by conv_id),
+crc as (
+    select conv_id, digits, 1 as i, cast(4294967295 as bigint) as c from convs
+    union all
+    select conv_id, digits, i + 1, list_reduce([xor(c, cast(ascii(digits[i]) as bigint)), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, b: xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end))
+    from crc where i <= length(digits)),
+drawn as (select conv_id, xor(c, 4294967295) % 9 as h from crc where i = length(digits) + 1),
+rebuilt as (
+    select c.conv_id, coalesce(d.own[1:h], []) || coalesce(c.own[h + 1:], []) as turns
+    from convs c join drawn using (conv_id) left join convs d on d.conv_id = c.conv_id - c.conv_id % 5),
+members as (select conv_id, len(turns) as length, depth, turns[1:depth] as prefix from (select *, unnest(range(0, len(turns) + 1)) as depth from rebuilt)),
+nodes as materialized (
+    select md5(cast(prefix as varchar) || depth) as node, depth, any_value(prefix) as prefix, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (length = depth), '')) as ends_sha256,
+        coalesce(octet_length(encode(any_value(prefix)[depth].text)), 0) as bytes,
+        md5(cast(any_value(prefix)[1:depth - 1] as varchar) || (depth - 1)) as parent
+    from members group by prefix, depth),
+counted as (
+    select n.*, (select count(*) from nodes k where k.parent = n.node and k.depth = n.depth + 1) as n_children from nodes n),
+above as (
+    select node as spot, parent as up, depth, n_children = 0 as leaf, (n_convs - 1) * bytes as saved, node as of_node from counted
+    union all
+    select n.node, n.parent, n.depth, a.leaf, a.saved, a.of_node from above a join counted n on n.node = a.up where a.depth > 0),
+sums as (select spot as node, count_if(leaf) as n_leaves, sum(saved) as saved_tokens from above group by spot)
+select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, cast(s.n_leaves as bigint) as n_leaves,
+    cast(s.saved_tokens as bigint) as saved_tokens, c.ends_sha256
+from counted c join sums s using (node) left join nodes p on c.depth > 0 and p.node = c.parent
+""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
