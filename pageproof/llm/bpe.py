@@ -20,7 +20,13 @@ part never fires and adds nothing.
 Encoding walks the automaton over a pre-split word: from each position reached,
 tokens that start there and have an arc from the state of that position lead
 on. A prefix has one tokenization, so a position has one state, whatever the
-length of the word. Transitions once looked up are kept in a table.
+length of the word. Transitions once looked up are kept in a table. The first
+state has an arc on every token, so a piece that is a token needs no walk.
+
+Texts are lower-cased and pre-split by Python. Code points that its tables do not
+know (``unicodedata``), or know only since a later version of Unicode than the
+library, may be letters or have lower case there: texts with one of them are
+normalised and pre-split by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -35,12 +41,14 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
+import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks (runs without white space), and distinct pieces of them, that
-#: a worker remembers at a time.
-CACHE_CHUNKS = 300_000
+#: Distinct pieces in each of the two generations that a worker remembers.
+CACHE_PIECES = 200_000
+#: Pieces of more bytes are not remembered.
+CACHED_BYTES = 64
 #: Transitions it keeps in its table at a time.
 CACHE_ARCS = 500_000
 
@@ -122,21 +130,33 @@ class Tokenizer:
         made = {m[2] for m in merges}
         base = [i for i in vocab.values() if i not in made]
         self.automaton = Automaton(base, merges)
-        # Tokens that are on an arc, by their spelling, and -1 for mere beginnings.
+        # Tokens that are on an arc, by the bytes they spell: those with the end mark
+        # in a table, the others in a trie of (token or -1, tables of the next bytes).
+        byte_of = {symbol: b for b, symbol in enumerate(byte_symbols())}
         spelt = {t: i for t, i in vocab.items() if i in self.automaton.target}
-        self.words = {t.removesuffix(_END): i for t, i in spelt.items() if t.endswith(_END) and t != _END}
-        self.starts = {t: i for t, i in spelt.items() if not t.endswith(_END)}
-        for t in [*self.starts, *self.words]:
-            for n in range(1, len(t) + 1):
-                self.starts.setdefault(t[:n], -1)
-        self._symbols = dict(enumerate(byte_symbols()))
-        self._known: dict[str, list[int]] = {}
+        spell = lambda t: bytes(byte_of[c] for c in t)
+        self.words = {spell(t.removesuffix(_END)): i for t, i in spelt.items() if t.endswith(_END) and t != _END}
+        self.starts: dict[int, list] = {}
+        for t, i in spelt.items():
+            if not t.endswith(_END):
+                level, entry = self.starts, None
+                for b in spell(t):
+                    entry = level.setdefault(b, [-1, {}])
+                    level = entry[1]
+                entry[0] = i
+        self._width = {i: len(t) for t, i in self.words.items()}
+        self._width |= {i: len(t) for t, i in spelt.items() if not t.endswith(_END)}
+        self._label_bytes = {i: t.encode() for i, t in self.labels.items()}
+        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._before: dict[str, tuple[bytes, bytes]] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._pieces = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+", regex.VERSION0
-        )
+        cut = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
+        self._pieces = regex.compile(cut.format(letters=r"\p{L}", digits=r"\p{N}", space=_SPACE), regex.VERSION0)
+        self._ascii_pieces = re.compile(cut.format(letters="a-z", digits="0-9", space=r"\t-\r\x20"))
+        self._library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
+        self._byte_of = byte_of
         self._arcs: dict[int, bool] = {}
-        self._chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self._points: set[str] = set()
 
     def _open(self, state: int, token: int) -> bool:
         key = state << 20 | token
@@ -147,89 +167,115 @@ class Tokenizer:
             known = self._arcs[key] = self.automaton.follows(state, token)
         return known
 
-    def _candidates(self, word: str, i: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that start at i, the longest last."""
-        n, starts, found = len(word), self.starts, []
-        for j in range(i + 1, n):
-            token = starts.get(word[i:j])
-            if token is None:
-                return found
-            if token >= 0:
-                found.append((j, token))
-        token = self.words.get(word[i:])
-        if token is not None:
-            found.append((n, token))
-        return found
-
-    def encode_word(self, word: str) -> list[int]:
-        """Token ids of one piece in byte symbols; its last symbol carries the
-        end mark. Long tokens are tried first. Only one way leads to a position,
-        so none is visited twice."""
-        n, arcs, target = len(word), self._arcs, self.automaton.target
-        at, state, ids = 0, 0, []
-        options, trail = self._candidates(word, 0), []
+    def encode_word(self, word: bytes) -> list[int]:
+        """Token ids of the bytes of one piece; its last symbol carries the end
+        mark. Long tokens are tried first. Only one way leads to a position, so
+        none is visited twice."""
+        words, starts = self.words, self.starts
+        whole = words.get(word)
+        if whole is not None:
+            return [whole]
+        n, arcs, target, width = len(word), self._arcs, self.automaton.target, self._width
+        at, state, ids, options, trail, arrived = 0, 0, [], [], [], True
         while True:
+            if arrived:
+                # The tokens that start here, the longest last.
+                options, level = [], starts
+                for b in word[at:-1]:
+                    entry = level.get(b)
+                    if entry is None:
+                        break
+                    token, level = entry
+                    if token >= 0:
+                        options.append(token)
+                token = words.get(word[at:])
+                if token is not None:
+                    options.append(token)
+            arrived = False
             while options:
-                end, token = options.pop()
+                token = options.pop()
                 open_ = arcs.get(state << 20 | token)
-                if open_ is None:
-                    open_ = self._open(state, token)
-                if open_:
+                if open_ or (open_ is None and self._open(state, token)):
+                    arrived = True
                     break
-            else:
+            if not arrived:
                 at, state, options = trail.pop()
                 ids.pop()
                 continue
             ids.append(token)
+            end = at + width[token]
             if end == n:
                 return ids
             trail.append((at, state, options))
-            at, state, options = end, target[token], self._candidates(word, end)
-
-    def _encode_plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            # Lower-casing goes by the single character, without the final sigma rule.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        ids: list[int] = []
-        for piece in self._pieces.findall(text.lower()):
-            known = self._known.get(piece)
-            if known is None:
-                if len(self._known) >= CACHE_CHUNKS:
-                    self._known.clear()
-                word = piece.encode().decode("latin-1").translate(self._symbols)
-                known = self._known[piece] = self.encode_word(word)
-            ids += known
-        return ids
+            at, state = end, target[token]
+
+    def _coded(self, word: bytes) -> tuple[bytes, bytes]:
+        """A piece's ids, as little-endian unsigned 32-bit integers, and its labels."""
+        ids, labels = self.encode_word(word), self._label_bytes
+        if len(ids) == 1:
+            return ids[0].to_bytes(4, "little"), labels[ids[0]]
+        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([labels[i] for i in ids])
+
+    def _remembered(self, piece: str) -> tuple[bytes, bytes]:
+        """As ``_coded``, from the pieces remembered. When their table is full, it
+        becomes the older one, so that frequent pieces are never all forgotten."""
+        known = self._known.get(piece)
+        if known is None:
+            known = self._before.get(piece) or self._coded(piece.encode())
+            if len(piece) <= CACHED_BYTES:
+                if len(self._known) >= CACHE_PIECES:
+                    self._known, self._before = {}, self._known
+                self._known[piece] = known
+        return known
 
-    def encode(self, text: str) -> list[int]:
+    def _unknown(self, text: str) -> bool:
+        """Whether a text has a code point without a category in Python's tables."""
+        new = set(text) - self._points
+        known = {c for c in new if unicodedata.category(c) != "Cn"}
+        self._points |= known
+        return len(known) < len(new)
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._ascii_pieces.findall(text.lower())
+        # Lower-casing goes by the single character, without the final sigma rule.
+        return self._pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        """The coded pieces of a text without special tokens."""
+        if not text.isascii() and self._unknown(text):
+            library, byte_of = self._library, self._byte_of
+            split = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+            return [self._coded(bytes(byte_of[c] for c in piece)) for piece, _ in split]
+        pieces = self._split(text)
+        known = list(map(self._known.get, pieces))
+        if None in known:
+            for i, found in enumerate(known):
+                if found is None:
+                    known[i] = self._remembered(pieces[i])
+        return known
+
+    def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
+        """Ids as little-endian unsigned 32-bit integers, and the decoded text in
+        UTF-8: the labels, joined by spaces."""
         if self._special is None or not self._special.search(text):
-            return self._encode_plain(text)
-        ids, at = [], 0
-        for m in self._special.finditer(text):
-            ids += [*self._encode_plain(text[at : m.start()]), self.special[m[0]]]
-            at = m.end()
-        return ids + self._encode_plain(text[at:])
+            parts = self._parts(text)
+        else:
+            parts, at = [], 0
+            for m in self._special.finditer(text):
+                token = self.special[m[0]]
+                parts += [*self._parts(text[at : m.start()]), (token.to_bytes(4, "little"), self._label_bytes[token])]
+                at = m.end()
+            parts += self._parts(text[at:])
+        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+
+    def encode(self, text: str) -> list[int]:
+        ids = self.encode_bytes(text)[0]
+        return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
     def decode(self, ids) -> str:
         return " ".join(self.labels[i] for i in ids)
 
-    def encode_chunked(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in
-        UTF-8. No piece crosses ASCII white space, so a text is the sum of its
-        chunks, and each distinct chunk is walked once while remembered."""
-        chunks, seen = text.encode().split(), self._chunks
-        known = list(map(seen.get, chunks))
-        if None in known:
-            if len(seen) > CACHE_CHUNKS:
-                seen.clear()
-            for i, chunk in enumerate(chunks):
-                if known[i] is None:
-                    known[i] = seen.get(chunk)
-                if known[i] is None:
-                    ids = self.encode(chunk.decode())
-                    known[i] = seen[chunk] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode())
-        return b"".join([k[0] for k in known]), b" ".join([k[1] for k in known if k[1]])
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
@@ -251,7 +297,7 @@ def encode(text: Column, path: str, keep_ids: bool = True) -> Column:
     def coded(texts: pd.Series) -> pd.DataFrame:
         own, rows = tokenizer(path), []
         for value in texts:
-            ids, decoded = own.encode_chunked(value or "")
+            ids, decoded = own.encode_bytes(value or "")
             digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
             rows.append((len(ids) // 4, ids if keep_ids else None, *digests))
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])

@@ -66,7 +66,11 @@ def squared(vectors: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def roots(squares: np.ndarray) -> np.ndarray:
-    return np.sqrt(squares.astype(np.float64))
+    """Distances as floating point numbers. Those beyond their range are cut to
+    it, which leaves the differences of two of them lower bounds."""
+    if squares.dtype != object:
+        return np.sqrt(squares.astype(np.float64))
+    return np.array([math.sqrt(s) if s < 2**1000 else float(min(math.isqrt(s), 2**1000)) for s in squares], dtype=np.float64)
 
 
 def chosen_pivots(centres: np.ndarray, count: int = PIVOTS) -> np.ndarray:
@@ -159,7 +163,7 @@ def starting_centroids(kept: DataFrame, id_col: str = "vec_id", vec: str = "embe
     place = F.sha2(F.concat(F.lit("2:"), F.col(id_col).cast("string")), 256)
     first = kept.where(F.col(id_col).isNotNull()).select(place.alias("place"), F.col(vec).alias("v"))
     rows = first.orderBy("place", "v").limit(count).collect()
-    return scaled(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
+    return scaled(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0))
 
 
 def pivot_table(kept: DataFrame, pivots: np.ndarray, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pageproof.llm import bpe, centroids, fingerprints, langid, minhash, mixing, packing, prefixes, quality, secrets, substrings, toxicity, urlrules
 from pageproof.llm.common import held_out, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

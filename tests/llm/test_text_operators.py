@@ -249,3 +249,20 @@ def test_likeness_of_columns_of_mixed_size(docs):
     rows = by_id(fingerprints.compare_edited(docs([(1, "word " * 70_001), (2, "word " * 65_001), (3, "a b"), (4, None)])))
     assert rows[1]["near_next"] == pytest.approx(1 - 5000**2 / (70_000**2 + 65_000**2))
     assert rows[2]["near_next"] < 0.01 and rows[4]["near_next"] == 0
+
+
+def test_bpe_equals_the_library_over_all_code_points(library):
+    own = bpe.tokenizer(TOKENIZER)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}!{chr(c)}B {chr(c)}" for c in points]
+    for at in range(0, len(texts), 50_000):
+        block = texts[at : at + 50_000]
+        for text, want in zip(block, library.encode_batch_fast(block, add_special_tokens=False), strict=True):
+            assert own.encode(text) == want.ids
+
+
+def test_bpe_of_long_runs_and_forgotten_pieces(library, monkeypatch):
+    own = bpe.tokenizer(TOKENIZER)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    for text in ["a" * 100_000, "é" * 30_000, "!?" * 20_000, " ".join(f"w{i % 13}x" for i in range(300)), ""]:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
