@@ -98,6 +98,29 @@ ISSUE_COLUMNS = [
 ]
 SHEET_CELLS = _cells(ISSUE_COLUMNS)
 
+# FAQ sheets of the same pages, two pairs each with a blank row after; some
+# labels without a link. The pages answer them in markup, in text or not at all.
+FAQ_SHEET_ROWS = f"""
+select page_id, url, 1000000 + {_SHEET} as sheet_id, 2 + 3 * (page_id - 10 * cast(floor(page_id / 10) as bigint)) + k as row_no, k,
+  case when k = 0 then 'Page ' || page_id else '' end as label, case when k = 0 and page_id % 8 <> 7 then url end as link,
+  case k when 0 then 'What is page ' || page_id || '?' when 1 then 'Who wrote page ' || page_id || '?' else '' end as question,
+  case k when 0 then 'Page ' || page_id || ' is about numbers' when 1 then 'Somebody wrote all of it' else '' end as answer
+from {{pages}} join (values (0), (1), (2)) n(k) on true
+"""
+FAQ_SHEET_CELLS = f"""
+select sheet_id, row_no, col_no, case col_no when 0 then label when 1 then question else answer end as value, case when col_no = 0 then link end as hyperlink
+from ({FAQ_SHEET_ROWS}) r join (values (0), (1), (2)) c(col_no) on true
+union all select 1000000 + {_SHEET}, cast(1 as bigint), col_no, case col_no when 0 then 'URL' when 1 then 'FAQs' else 'Answer' end, cast(null as varchar(10))
+from {{pages}} join (values (0), (1), (2)) c(col_no) on true where page_id % 10 = 0
+"""
+_PAIR = "'<details><summary>What is page ' || page_id || '?</summary><p>Page ' || page_id || ' is about numbers</p></details>'"
+FAQ_SHEET_PAGES = f"""
+select page_id, url, replace(html, '</body>', '') || case page_id % 3 when 2 then '<p>What is page ' || page_id || '? Page ' || page_id || ' is about numbers</p>'
+  when 1 then {_PAIR} else {_PAIR} || '<details><summary>Who wrote page ' || page_id || '?</summary><p>Nobody wrote it</p></details>' ||
+  case when page_id % 6 = 3 then '<details><summary>Extra question?</summary><p>Yes</p></details>' else '' end end || '</body>' as html
+from {{pages}}
+"""
+
 # FAQ sheets from conversations: twenty per sheet; a question is a user turn,
 # its answer the turn after, some rows blank, some labels linked.
 FAQ_ROWS = """

@@ -189,14 +189,34 @@ titled as (select url, {d.norm(d.decode("regexp_extract(html, '(?i)<title[^>]*>(
 facts as (select url, max(title) as title from titled group by 1),
 j as (select s.*, case issue_type when 'title' then f.title when 'h1' then f.title else '' end as actual,
   case issue_type when 'title' then 'Meta title' when 'h1' then 'H1' when 'metaDescription' then 'Meta description' when 'canonical' then 'Canonical URL' end as name
-  from sent s left join facts f using (url) where family = 'field')
-select sheet_id, source_row_number, url, check_type, expected, case when load_error is not null then null else actual end as actual,
+  from sent s left join facts f using (url) where family = 'field'),
+field as (select sheet_id, source_row_number, url, check_type, expected, case when load_error is not null then null else actual end as actual,
   case when load_error is not null or actual = '' or ({d.norm('expected')} <> '' and {d.cmp('expected')} <> lower(actual)) then 'failed' else 'passed' end as status,
   case when load_error is not null then 'Unable to load the page for SEO validation: ' || load_error when actual = '' then name || ' is missing.'
     when {d.norm('expected')} <> '' and {d.cmp('expected')} <> lower(actual) then name || ' does not match the expected value.' else name || ' is valid.' end as message
-from j""")
+from j),
+asked as (select * from ({duck(I.FAQ_SHEET_ROWS)}) where k < 2),
+told as (select a.*, e.error, page_id % 3 as kind from asked a left join err e using (url) where page_id % 8 <> 7),
+pair as (select sheet_id, url, k + 1 as seq, 'FAQ: "' || question || '"' as check_type, case when k = 0 then 'passed' else 'failed' end as status, answer as expected,
+    case when k = 0 then answer when kind = 0 then 'Nobody wrote it' else {d.lit(Q.MISSING_ACTUAL)} end as actual,
+    case when k = 0 then null when kind = 0 then {d.lit(Q.DIFFERS_MESSAGE)} else {d.lit(Q.MISSING_MESSAGE)} end as message,
+    case when k = 1 and kind = 0 then '[{{"type":"changed","expected":"Somebody","actual":"Nobody"}},{{"type":"same","expected":"wrote","actual":"wrote"}},'
+      || '{{"type":"removed","expected":"all"}},{{"type":"removed","expected":"of"}},{{"type":"same","expected":"it","actual":"it"}}]' end as diff
+  from told where error is null
+  union all select sheet_id, url, 2, 'FAQ (extra): "Extra question?"', 'warning', {d.lit(Q.EXTRA_EXPECTED)}, 'Yes', {d.lit(Q.EXTRA_MESSAGE)}, null from told where error is null and k = 0 and page_id % 6 = 3
+  union all select sheet_id, url, null, {d.lit(Q.LOAD_CHECK)}, 'warning', {d.lit(Q.LOAD_EXPECTED)}, 'Untested — the page failed to load: ' || error || {d.lit(Q.LOAD_AGAIN)},
+    'Unable to load the page to check its FAQs: ' || error, null from told where error is not null and k = 0),
+skip as (select sheet_id, row_no, label from asked where page_id % 8 = 7 and k = 0)
+select sheet_id, source_row_number, url, check_type, status, expected, actual, message, cast(null as int) as seq, cast(null as varchar) as diff from field
+union all select sheet_id, null, url, check_type, status, expected, actual, message, seq, diff from pair
+union all select sheet_id, cast(row_no as int), label, 'FAQ (skipped)', 'warning', '2 FAQs for page "' || label || '" — not a live-site bug, nothing to fix on the page itself.',
+  'Untested — no hyperlink/URL found in the sheet for page label "' || label || '" (row ' || row_no || '). Add a real link in the sheet and re-run to test this page''s FAQs.',
+  '2 FAQs could not be tested.', null, null from skip""")
 def sheet_audit(db: Tables):
-    return audits.audit_sheets(cells(db), db.pages, load_errors=db.sql(ERRORS), segment_rows=SEGMENT).results
+    """Both kinds of sheets in one audit: ten columns, word diffs as JSON."""
+    both = cells(db).unionByName(db.sql(I.FAQ_SHEET_CELLS))
+    found = audits.audit_sheets(both, db.sql(I.FAQ_SHEET_PAGES), load_errors=db.sql(ERRORS), segment_rows=SEGMENT).results
+    return found.withColumn("diff", F.to_json("diff"))
 
 
 MERGES = """
@@ -266,6 +286,25 @@ def faq_unresolved_results(db: Tables):
     return Q.unresolved_results(Q.unresolved_faqs(faq_run_rows(db)))
 
 
+SHEET_RUNS = RUNS.replace(
+    duck(I.FAQ_ROWS),
+    f"select sheet_id, row_no, label as url_text, link as hyperlink, question, answer from ({duck(I.FAQ_SHEET_ROWS)})",
+)
+
+
+@query(f"""with {AUDIT}, counted as (select sheet_id, count(*) as row_count from audit group by 1), {SHEET_RUNS},
+p as (select * from runs where question <> '' and answer <> ''), n as (select sheet_id, count(*) filter (url is not null) as faqs, count(distinct url) as pages,
+  string_agg(distinct case when url is null then label || ' (' || run_row || ')' end, '; ' order by case when url is null then label || ' (' || run_row || ')' end) as unresolved from p group by 1)
+select m.sheet_id, m.mode, coalesce(c.row_count, 0) as row_count, cast(null as bigint) as faq_page_count, cast(null as bigint) as faq_count, cast(null as varchar) as unresolved
+from mode m left join counted c using (sheet_id)
+union all select sheet_id, 'faq', faqs, pages, faqs, unresolved from n""")
+def preview_of_sheets(db: Tables):
+    seen = audits.preview_sheets(cells(db).unionByName(db.sql(I.FAQ_SHEET_CELLS)), SEGMENT)
+    label = F.format_string("%s (%d)", "label", "source_row_number")
+    names = seen.unresolved.groupBy("sheet_id").agg(F.array_join(F.array_sort(F.collect_set(label)), "; ").alias("unresolved"))
+    return seen.sheets.join(names, "sheet_id", "left")
+
+
 FAQ_CELLS = f"""
 select sheet_id, row_no, col_no, case col_no when 0 then url_text when 1 then question else answer end as value, case when col_no = 0 then hyperlink end as hyperlink
 from ({I.FAQ_ROWS}) r join (values (0), (1), (2)) c(col_no) on true

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageproof.functions import text as t
 from pageproof.functions.align import diff_words
 from pageproof.operators.html import full_text, with_faqs
-from pageproof.operators.ordered import SEGMENT_ROWS, latest_per_key, ordered_scan, sequence_number
+from pageproof.operators.ordered import SEGMENT_ROWS, latest_row, ordered_scan, sequence_number
 from pageproof.operators.sheet_rules import HEADER_ROWS
 
 # ---- fixed values -----------------------------------------------------------
@@ -29,6 +31,8 @@ LOAD_EXPECTED = "This page's FAQs — not a live-site bug, nothing to fix on the
 LOAD_AGAIN = " Re-run the audit to test this page's FAQs."
 # -----------------------------------------------------------------------------
 NO_SNAPSHOT = "no snapshot of this page."
+#: Questions that are looked up in one copy of a page's text.
+QUESTIONS_A_BLOCK = 500
 
 
 def faq_headers(cells: DataFrame) -> DataFrame:
@@ -45,11 +49,13 @@ def faq_headers(cells: DataFrame) -> DataFrame:
     )
 
 
-def faq_rows(cells: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def faq_rows(cells: DataFrame, segment_rows: int = SEGMENT_ROWS, headers: DataFrame | None = None) -> DataFrame:
     """faq_rows(sheet_id, row_no, url_text, hyperlink, question, answer) below
     the header, blank rows included: they separate blocks. Row numbers must be
     the sheet's own (1-based). Headers are copied to each segment they serve,
-    so one huge sheet does not make one huge join key."""
+    so one huge sheet does not make one huge join key. ``headers``: those of
+    :func:`faq_headers`, where they are stored already."""
+    headers = faq_headers(cells) if headers is None else headers
     rows = (
         cells.groupBy("sheet_id", "row_no")
         .agg(
@@ -63,7 +69,7 @@ def faq_rows(cells: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
         )
         .withColumn("_seg", F.floor(F.col("row_no") / segment_rows).cast("bigint"))
     )
-    served = rows.select("sheet_id", "_seg").distinct().join(faq_headers(cells), "sheet_id")
+    served = rows.select("sheet_id", "_seg").distinct().join(headers, "sheet_id")
     cell = lambda role: F.get(F.filter("cells", lambda c: c["col"] == F.col(f"{role}_col")), F.lit(0))
     text = lambda role: F.coalesce(cell(role)["v"], F.lit(""))
     return (
@@ -198,22 +204,24 @@ def published_faqs(pages: DataFrame) -> DataFrame:
     )
 
 
-def match_pairs(expected: DataFrame, actual: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def match_pairs(
+    expected: DataFrame, actual: DataFrame, segment_rows: int = SEGMENT_ROWS, keys: Sequence[str] = ("url",)
+) -> DataFrame:
     """Pair the k-th expected with the k-th published occurrence of a
-    question. Both sides need (url, pos, question, answer); a question repeated
+    question. Both sides need (keys, pos, question, answer); a question repeated
     without end on one page is numbered segment by segment."""
 
     def numbered(df: DataFrame) -> DataFrame:
         keyed = df.withColumn("key", t.faq_key("question"))
-        return sequence_number(keyed, ["url", "key"], "pos", "occ", segment_rows)
+        return sequence_number(keyed, [*keys, "key"], "pos", "occ", segment_rows)
 
-    e = numbered(expected.select("url", "pos", "question", "answer"))
-    a = numbered(actual.select("url", "pos", "question", "answer"))
-    side = lambda df, p: df.select("url", "key", "occ", *[F.col(c).alias(f"{p}_{c}") for c in ("pos", "question", "answer")])
-    return side(e, "exp").join(side(a, "act"), ["url", "key", "occ"], "full_outer")
+    e = numbered(expected.select(*keys, "pos", "question", "answer"))
+    a = numbered(actual.select(*keys, "pos", "question", "answer"))
+    side = lambda df, p: df.select(*keys, "key", "occ", *[F.col(c).alias(f"{p}_{c}") for c in ("pos", "question", "answer")])
+    return side(e, "exp").join(side(a, "act"), [*keys, "key", "occ"], "full_outer")
 
 
-def structural_results(matched: DataFrame) -> DataFrame:
+def structural_results(matched: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Results from :func:`match_pairs`: missing, differing, passed, extra.
     Only pairs whose answers differ reach the word diff."""
     missing = F.col("act_pos").isNull()
@@ -221,7 +229,7 @@ def structural_results(matched: DataFrame) -> DataFrame:
     ok = t.answer_contains("act_answer", "exp_answer")
     differs = ~missing & ~extra & ~ok
     return matched.select(
-        "url",
+        *keys,
         F.coalesce("exp_pos", "act_pos").alias("seq"),
         F.when(extra, _named("FAQ (extra)", F.col("act_question")))
         .otherwise(_named("FAQ", F.col("exp_question")))
@@ -234,14 +242,22 @@ def structural_results(matched: DataFrame) -> DataFrame:
     )
 
 
-def page_text_results(expected: DataFrame, page_texts: DataFrame) -> DataFrame:
+def page_text_results(expected: DataFrame, page_texts: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Plain-text mode: is the question, then the answer, somewhere in the
-    page? ``page_texts(url, page_text)``; no extras can be told here."""
-    joined = expected.join(page_texts.withColumn("_hay", t.faq_key("page_text")).drop("page_text"), "url")
+    page? ``page_texts(url, page_text)``; no extras can be told here. Questions
+    meet their page in blocks, so a page is copied once per block, not once per
+    question, and no block outgrows its bound by more than chance."""
+    sides = [c for c in keys if c != "url"]
+    asked = expected.select("url", *sides, "pos", "question", "answer")
+    blocks = asked.groupBy("url").agg(F.ceil(F.count("*") / QUESTIONS_A_BLOCK).alias("_blocks"))
+    dealt = asked.join(blocks, "url").withColumn("_block", F.pmod(F.xxhash64(*sides, "pos", "question"), "_blocks"))
+    dealt = dealt.groupBy("url", "_block").agg(F.collect_list(F.struct(*sides, "pos", "question", "answer")).alias("_asked"))
+    joined = dealt.join(page_texts.select("url", t.faq_key("page_text").alias("_hay")), "url")
     inside = lambda c: t.let(t.faq_key(c), lambda n: (n != "") & F.col("_hay").contains(n))
-    state = joined.withColumns({"_q": inside("question"), "_a": inside("answer")})
+    told = F.transform("_asked", lambda q: F.struct(q.alias("of"), inside(q["question"]).alias("_q"), inside(q["answer"]).alias("_a")))
+    state = joined.select("url", F.explode(told).alias("x")).select("url", "x.of.*", "x._q", "x._a")
     return state.select(
-        "url",
+        *keys,
         F.col("pos").alias("seq"),
         _named("FAQ", F.col("question")).alias("check_type"),
         F.when(F.col("_q") & F.col("_a"), "passed").otherwise("failed").alias("status"),
@@ -252,10 +268,10 @@ def page_text_results(expected: DataFrame, page_texts: DataFrame) -> DataFrame:
     )
 
 
-def load_failures(groups: DataFrame, failures: DataFrame) -> DataFrame:
+def load_failures(groups: DataFrame, failures: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """One warning per FAQ page that did not load: failures(url, error)."""
-    return groups.select("url").distinct().join(failures, "url").select(
-        "url",
+    return groups.select(*keys).distinct().join(failures, "url").select(
+        *keys,
         F.lit(LOAD_CHECK).alias("check_type"),
         F.lit("warning").alias("status"),
         F.lit(LOAD_EXPECTED).alias("expected"),
@@ -264,20 +280,35 @@ def load_failures(groups: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
-def check_faqs(expected: DataFrame, pages: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Whole FAQ audit: structured pages by occurrence, others by text. One
-    snapshot per URL is compared, the latest by page_id; a URL without any gives
-    one warning that its FAQs are untested."""
-    wanted = pages.join(expected.select("url").distinct(), "url", "left_semi")
-    found = with_faqs(latest_per_key(wanted, ["url"], "page_id"))
+def page_faqs(pages: DataFrame) -> DataFrame:
+    """(url, faqs, page_text) of each page; the text only where no pair is found."""
+    return with_faqs(pages).select("url", "faqs", F.when(F.size("faqs") == 0, full_text()).alias("page_text"))
+
+
+def check_found(
+    expected: DataFrame, found: DataFrame, segment_rows: int = SEGMENT_ROWS, keys: Sequence[str] = ("url",)
+) -> DataFrame:
+    """Expected pairs against ``page_faqs``, one row per URL: structured pages by
+    occurrence, others by text, and one warning for a URL without a page. With
+    more ``keys`` than the URL (a sheet's id), each of its groups meets the page
+    by itself; the page is still read once."""
+    keys = list(keys)
+    groups = expected.select(*keys).distinct()
     structured = found.where(F.size("faqs") > 0)
-    plain = found.where(F.size("faqs") == 0).select("url", full_text().alias("page_text"))
-    actual = structured.select("url", F.posexplode("faqs").alias("pos", "f")).select("url", "pos", "f.question", "f.answer")
+    actual = groups.join(structured.select("url", F.posexplode("faqs").alias("pos", "f")), "url")
+    actual = actual.select(*keys, "pos", "f.question", "f.answer")
     on_structured = expected.join(structured.select("url"), "url", "left_semi")
-    absent = expected.select("url").distinct().join(pages.select("url").distinct(), "url", "left_anti")
-    failed = load_failures(absent, absent.withColumn("error", F.lit(NO_SNAPSHOT)))
+    absent = groups.join(found.select("url"), "url", "left_anti")
+    untested = absent.select("url").distinct().withColumn("error", F.lit(NO_SNAPSHOT))
     return (
-        structural_results(match_pairs(on_structured, actual, segment_rows))
-        .unionByName(page_text_results(expected, plain))
-        .unionByName(failed, allowMissingColumns=True)
+        structural_results(match_pairs(on_structured, actual, segment_rows, keys), keys)
+        .unionByName(page_text_results(expected, found.where(F.size("faqs") == 0).select("url", "page_text"), keys))
+        .unionByName(load_failures(absent, untested, keys), allowMissingColumns=True)
     )
+
+
+def check_faqs(expected: DataFrame, pages: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Whole FAQ audit of pages: one snapshot per URL is compared, the latest by
+    page_id."""
+    wanted = pages.join(expected.select("url").distinct(), "url", "left_semi")
+    return check_found(expected, page_faqs(latest_row(wanted, ["url"], ["page_id"])), segment_rows)

@@ -83,3 +83,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the greatest by ``order`` and then by the other columns, so
+    that the choice never hangs on which row came first. A NULL is less than any
+    value; partial maxima are taken before the shuffle."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])

@@ -86,3 +86,14 @@ def test_a_page_without_snapshot_is_reported(spark):
     expected = spark.createDataFrame([(L1, 1, "Q", "A"), (L1, 2, "R", "B")], "url string, pos int, question string, answer string")
     got = Q.check_faqs(expected, pages).collect()
     assert [(r.url, r.check_type, r.status) for r in got] == [(L1, Q.LOAD_CHECK, "warning")]
+
+
+def test_many_questions_meet_one_page_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "QUESTIONS_A_BLOCK", 7)
+    asked = [("u", i, f"Question {i}?", f"Answer {i}") for i in range(60)] + [("v", 1, "Else?", "No")]
+    expected = spark.createDataFrame(asked, "url string, pos int, question string, answer string")
+    text = " ".join(f"question {i}? answer {i if i % 2 else 'x'}" for i in range(50))
+    pages = spark.createDataFrame([("u", text), ("w", "unasked")], "url string, page_text string")
+    got = {r.seq: (r.status, r.message) for r in Q.page_text_results(expected, pages).collect()}
+    assert len(got) == 60 and all(got[i][0] == ("passed" if i % 2 else "failed") for i in range(8, 50))
+    assert {got[i][1] for i in range(50, 60)} == {Q.MISSING_MESSAGE}

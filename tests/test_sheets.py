@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pageproof.operators import checks as C
@@ -180,3 +181,26 @@ def test_faq_sheets_are_told_first_and_checked_by_themselves(spark):
     assert modes[2] == ("faq", 2, 1, 2) and modes[3] == ("faq", 2, 2, 2) and modes[1][0] != "faq" and modes[1][1:] == (1, None, None)
     assert sorted((r.sheet_id, r.url) for r in seen.urls.collect()) == [(1, a), (2, a), (3, a), (3, b)]
     assert [(r.sheet_id, r.label) for r in seen.unresolved.collect()] == [(3, "C")]
+
+
+def test_the_latest_snapshot_has_a_total_order(spark):
+    schema = "page_id long, url string, html string, fetched_at string"
+    rows = [(1, "a", "first", None), (2, "a", "second", None), (3, "b", "dated", "2024-01-01"), (4, "b", "undated", None)]
+    rows += [(5, "c", None, "2024-02-01"), (5, "c", "known", "2024-02-01"), (6, "d", None, None), (None, "e", "x", None), (None, "e", "y", None)]
+    got = {r.url: (r.page_id, r.html) for r in audits.latest_snapshots(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    assert got == {"a": (2, "second"), "b": (3, "dated"), "c": (5, "known"), "d": (6, None), "e": (None, "y")}
+    pages = spark.createDataFrame([(1, "https://x.com/a", "<title>T</title>", None)], schema)
+    sheet = cells(spark, ["URL", "Issue", "Expected"], ["https://x.com/a", "Meta title", "T"], ["https://x.com/a", "h2", "Sub"])
+    got = audits.audit_sheets(sheet, pages).results.collect()
+    assert [(r.status, r.actual) for r in sorted(got, key=lambda r: r.check_type)] == [("passed", "T"), ("failed", "")]
+
+
+def test_a_sheet_without_faqs_starts_no_faq_jobs(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "https://x.com/a", "<title>T</title>")], "page_id long, url string, html string")
+    sheet = cells(spark, ["URL", "Issue", "Expected"], ["https://x.com/a", "Meta title", "T"])
+    monkeypatch.setattr(audits, "materialized", lambda df: pytest.fail("a job ran before results were asked for"))
+    audit = audits.audit_sheets(sheet, pages)
+    assert audit.rows.columns and audit.skipped.columns
+    monkeypatch.undo()
+    monkeypatch.setattr(audits, "faq_results", lambda *a: pytest.fail("FAQ jobs without an FAQ sheet"))
+    assert audit.results.count() == 1
