@@ -220,6 +220,95 @@ def regression_feed(observations: DataFrame) -> DataFrame:
     )
 
 
+class RunComparison(StatefulProcessor):
+    """Changes of a source's failing entries from one finished run to the next,
+    for one bucket of its keys. Entries of a run wait until it has ended and the
+    watermark has passed its end; an entry of the run before that is absent then
+    is fixed. Runs that end in time are compared in the order of their numbers,
+    however their rows arrive; a run that ends after a later one was judged gives
+    rows of change ``late``, one per entry, and moves nothing. Entries of runs
+    that never end are dropped with the next run that does. A bucket's state is dropped
+    once the source has had no run for the retention period."""
+
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "run_no bigint, key string", "seen boolean")
+        self.ends = handle.getMapState("ends", "run_no bigint", "run_id string, at_ms bigint")
+        self.failing = handle.getMapState("failing", "key string", "run_no bigint")
+        self.last = handle.getValueState("last", "run_no bigint, at_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for r in chunk.itertuples(index=False):
+                if r.is_end:
+                    at_ms = r.ts.value // 1_000_000
+                    self.ends.updateValue((int(r.run_no),), (r.run_id, at_ms))
+                    self.handle.registerTimer(at_ms)
+                else:
+                    self.waiting.updateValue((int(r.run_no), r.key), (True,))
+        return iter([])
+
+    def _judge(self, run_no: int) -> Iterator[tuple[str, str]]:
+        """(key, change) of a run; its entries become those of the run before."""
+        last = self.last.get()[0] if self.last.exists() else None
+        late = last is not None and run_no <= last
+        waiting = [tuple(k) for k, _ in self.waiting.iterator()]
+        now = {k for n, k in waiting if n == run_no}
+        for n, k in waiting:
+            if n == run_no or (n < run_no and not self.ends.containsKey((n,))):
+                self.waiting.removeKey((n, k))
+        if late:
+            yield from ((k, "late") for k in sorted(now))
+            return
+        before = {k[0] for k, _ in self.failing.iterator()}
+        for k in sorted(before | now):
+            yield k, "still" if k in before and k in now else "new" if k in now else "fixed"
+        for k in before - now:
+            self.failing.removeKey((k,))
+        for k in now:
+            self.failing.updateValue((k,), (run_no,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((n[0], *v) for n, v in self.ends.iterator() if v[1] <= at)
+        for run_no, run_id, at_ms in due:
+            out = [(key[0], k, run_id, change) for k, change in self._judge(run_no)]
+            self.ends.removeKey((run_no,))
+            known = self.last.get() if self.last.exists() else (run_no, at_ms)
+            self.last.update((max(run_no, known[0]), max(at_ms, known[1])))
+            self.handle.registerTimer(max(at_ms, known[1]) + self.retention_ms)
+            if out:
+                yield pd.DataFrame(out, columns=["source_path", "key", "run_id", "change"])
+        if not due and self.last.exists() and at >= self.last.get()[1] + self.retention_ms:
+            for state in (self.waiting, self.failing, self.last):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def run_changes_feed(
+    events: DataFrame, lateness: str = "1 day", retention_ms: int = 90 * 24 * 3_600_000, buckets: int = 16
+) -> DataFrame:
+    """Changes between finished runs. ``events`` (source_path, ts, run_no, run_id,
+    key, is_end): a failing entry of a run, or with ``is_end`` that the run is over,
+    in event time not before its entries. A source's keys are dealt to ``buckets``,
+    each of which hears of every end, so no source gathers in one task."""
+    own = F.array(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+    dealt = events.withColumn("bucket", F.explode(F.when(F.col("is_end"), every).otherwise(own)))
+    return (
+        dealt.withWatermark("ts", lateness)
+        .groupBy("source_path", "bucket")
+        .transformWithStateInPandas(
+            RunComparison(retention_ms), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime"
+        )
+    )
+
+
 def start_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: str | None = None):
     """Write a stream as parquet; with ``key`` each micro-batch goes through
     foreachBatch under its batch id, so a replay overwrites itself."""

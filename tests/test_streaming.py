@@ -143,3 +143,108 @@ def test_only_finished_batches_are_dropped(spark, tmp_path):
     ]
     got = [(r.batch_id, r.total, r.completed, r.errored, r.status) for r in progress_of(spark, tmp_path, batches)]
     assert sorted(got) == [("b", 2, 1, 0, "running"), ("b", 2, 2, 0, "done"), ("c", 1, 1, 1, "done"), ("c", 4, 0, 0, "running")]
+
+
+RUN_EVENTS = "source_path string, ts timestamp, run_no bigint, run_id string, key string, is_end boolean"
+
+
+def day(n, hour=0):
+    return T0 + dt.timedelta(days=n, hours=hour)
+
+
+def failing(n, *keys):
+    return [("s", day(n, 1), n, f"r{n}", k, False) for k in keys]
+
+
+def ended(n, source="s"):
+    return ("s" if source is None else source, day(n, 2), n, f"r{n}", None, True)
+
+
+def changes(spark, tmp_path, batches, **kw):
+    jobs.use_rocksdb(spark)
+    for rows in batches:
+        spark.createDataFrame(rows, RUN_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(RUN_EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return sorted((r.run_id, r.key, r.change) for r in drain(spark, jobs.run_changes_feed(source, **kw), tmp_path))
+
+
+def test_absence_from_a_finished_run_is_fixed_and_order_of_arrival_is_not_told(spark, tmp_path):
+    batches = [
+        [*failing(0, "a", "b"), ended(0)],
+        # The end of run 1 comes before its entries, and run 2 before run 1.
+        [*failing(2, "c"), ended(2), ended(1)],
+        [*failing(1, "b", "c")],
+        [ended(3)],
+        [ended(60, "tick")],
+    ]
+    got = changes(spark, tmp_path, batches, lateness="5 days", buckets=3)
+    assert got == [
+        ("r0", "a", "new"), ("r0", "b", "new"), ("r1", "a", "fixed"), ("r1", "b", "still"), ("r1", "c", "new"),
+        ("r2", "b", "fixed"), ("r2", "c", "still"), ("r3", "c", "fixed"),
+    ]
+
+
+class FakeState(dict):
+    """A map or value state in memory."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+    def containsKey(self, key):
+        return key in self
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def exists(self):
+        return None in self
+
+    def get(self, *_):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, FakeState())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_late_runs_are_told_and_state_is_empty_after_the_period():
+    import pandas as pd
+
+    own, handle = jobs.RunComparison(retention_ms=1000), FakeHandle()
+    own.init(handle)
+
+    def take(*rows):
+        frame = pd.DataFrame([(pd.Timestamp(at, unit="ms"), n, f"r{n}", k, k is None) for at, n, k in rows], columns=["ts", "run_no", "run_id", "key", "is_end"])
+        assert list(own.handleInputRows(("s", 0), iter([frame]), None)) == []
+
+    def until(watermark):
+        out = []
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(due[0])
+            info = type("Info", (), {"getExpiryTimeInMs": lambda self, at=due[0]: at})()
+            out += [tuple(r)[1:] for f in own.handleExpiredTimer(("s", 0), None, info) for r in f.itertuples(index=False)]
+        return out
+
+    take((10, 1, "a"), (10, 1, "b"), (20, 1, None))
+    assert until(15) == [] and until(20) == [("a", "r1", "new"), ("b", "r1", "new")]
+    take((40, 3, "b"), (50, 3, None), (30, 2, "z"))
+    assert until(60) == [("a", "r3", "fixed"), ("b", "r3", "still")]
+    take((35, 2, "q"), (36, 2, None))
+    assert until(70) == [("q", "r2", "late")]
+    assert handle.states["failing"] == {("b",): (3,)} and handle.states["waiting"] == {}
+    assert until(2000) == [] and not any(handle.states.values()) and not handle.timers
