@@ -266,3 +266,22 @@ def sql_function_calls(db: Tables):
         "select doc_id, md5(pp_normalize_text(text)) as norm_md5, pp_preview10(text) as preview, pp_is_url(text) as is_link"
         " from {documents}"
     )
+
+
+@query(f"""
+with {d.pieces()},
+a as (select page_id, url, unnest(regexp_extract_all({d.live()}, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) as href from pages),
+l as (select page_id, url, href, {d.link_href('href', 'url')} as link, {d.normalize_url('href', 'url')} as clean from a)
+select page_id, href, clean, link, case when starts_with(link, {d.origin('url')}) then 'Internal' else 'External' end as link_type,
+  case when regexp_matches(href, '(?i)^https?://') then href else link end as resolved
+from l
+""")
+def sql_link_functions(db: Tables):
+    """Every link of every page through functions called by name in SQL."""
+    register_sql_functions(db.spark)
+    links = H.with_body(db.pages).select("page_id", "url", F.explode("anchors").alias("a"))
+    return db.spark.sql(
+        "select page_id, href, pp_normalize_url(href, url) as clean, pp_link_href(href, url) as link,"
+        " pp_link_type(pp_link_href(href, url), url) as link_type, pp_resolve_url(href, url) as resolved from {links}",
+        links=links.select("page_id", "url", F.col("a.href").alias("href")),
+    )

@@ -105,3 +105,26 @@ def test_numeric_references_of_any_length(value):
     for raw in ("&#0000000000065;", "&#x00000000000041;", "&#65;"):
         assert value(lambda c: t.decode_entities(c), c=raw) == "A"
         assert value(lambda c: t.decode_markup(c), c=raw) == "A"
+
+
+def test_functions_by_name_in_sql_equal_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from pageproof.functions import sql
+    from pageproof.functions import text as t
+    from pageproof.functions import urls as u
+
+    sql.register_sql_functions(spark)
+    links = [
+        None, "", " /a/b/?utm_source=x&b=2&a=1#f ", "HTTP://Ex.com:80/A%20b/", "//cdn.x/y", "?q='it''s'", "mailto:a@b.c", "../up", "#top",
+        "https://ex.com/?a=(1)&or(2)", "javascript:void(0)", "\\\\odd\\path", "x y", "https://u:p@ex.com:443", "Q &amp; A?! &#8211; don't",
+    ]
+    bases = ["https://Ex.com/c/d?x=1", "http://ex.com", "not a url", None]
+    df = spark.createDataFrame([(a, b) for a in links for b in bases], "link string, base string")
+    both = df.select(
+        F.struct(u.normalize_url("link", "base"), u.resolve_url("link", "base"), u.link_href("link", "base"), u.link_type("link", "base"),
+                 t.faq_key("link"), t.decode_entities("link")).cast("string").alias("want"),
+        F.expr("cast(struct(pp_normalize_url(link, base), pp_resolve_url(link, base), pp_link_href(link, base), pp_link_type(link, base),"
+               " pp_faq_key(link), pp_decode_entities(link)) as string)").alias("got"),
+    )
+    assert both.where("not (want <=> got)").collect() == []
