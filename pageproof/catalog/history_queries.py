@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pageproof.catalog import duck as d
 from pageproof.catalog import inputs as I
-from pageproof.catalog.base import Tables, duck, query
+from pageproof.catalog.base import ORACLES, Tables, duck, query
 from pageproof.catalog.check_queries import REDIRECT, SCANS, scans
+from pageproof.catalog.sheet_queries import issue_case
 from pageproof.operators import checks as C
 from pageproof.operators import history as P
 from pageproof.operators import reports as S
 from pageproof.operators import rollups as R
+from pageproof.operators import store as T
+from pageproof.session import shared_folder
+from pageproof.sources.records import read_run_records
 
 RES = f"res as ({duck(I.CHECK_RESULTS)})"
 RUNS = f"runs as ({duck(I.RUNS)})"
@@ -327,3 +333,67 @@ def summary_report_counts(db: Tables):
     )
     lines = S.summary_report_lines(r, R.category_breakdown(check_rows(db), ["run_id"]))
     return lines.where(F.col("line").startswith("| SEO Checks")).select("run_id", "line")
+
+
+@query(ORACLES["result_page"])
+def result_page_after(db: Tables):
+    """The page after the fiftieth row, found from that row alone."""
+    results = db.sql(I.CHECK_RESULTS)
+    last = R.page_after(results, size=50).collect()
+    page = R.page_after(results, last[-1].asDict() if last else None)
+    return page.select("run_id", "seq", "url", "check_type", "status")
+
+
+@query(f"""with {RES}, c as (select run_id, seq, status, {issue_case("check_type")} as category from res),
+n as (select run_id, category, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed,
+  count(*) filter (status not in ('passed', 'failed')) as skipped, count(*) as total, min(seq) as first_seq from c group by 1, 2)
+select run_id, category, passed, failed, skipped, total, cast(row_number() over (partition by run_id order by total desc, first_seq, category) as int) as position from n""")
+def categories_in_order(db: Tables):
+    return R.ordered_categories(db.sql(I.CHECK_RESULTS), ["run_id"])
+
+
+# Records to import: every other run anew, some of them broken or without an id.
+# Braces are written as characters, as the input SQL is a format string.
+RECORDS = f"""
+select seq, chr(123) || case when seq % 10 = 4 then '"id": "' || id || '", ' when seq % 10 = 6 then '"type":"blog","filename":"' || filename || '"' || chr(125)
+  else '"id":"' || id || '","type":"' || type || '","filename":"imported ' || filename || '","createdAt":"2030-01-01","status":"' || status || '"' || chr(125) end as line
+from ({STORED}) s where seq % 2 = 0
+"""
+
+
+@query(f"""with s as ({duck(STORED)}), inc as (select * from s where seq % 2 = 0 and seq % 10 not in (4, 6)),
+failed as (select case when seq % 10 = 4 then 'not readable' else 'no id' end as reason, line from ({duck(RECORDS)}) r where seq % 10 in (4, 6))
+select 'stored' as kind, id, filename, status from s where seq % 3 <> 0 and id not in (select id from inc)
+union all select 'stored', id, 'imported ' || filename, status from inc
+union all select 'failed', null, line, reason from failed
+union all select 'count', 'migrated', cast(count(*) as varchar), null from inc union all select 'count', 'failed', cast(count(*) as varchar), null from failed""")
+def history_import(db: Tables):
+    """Records read, stored in the buckets that their ids touch, and failures kept."""
+    folder = f"{shared_folder(db.spark).rstrip('/')}/{uuid.uuid4()}"
+    columns = ["id", "type", "filename", "created_at", "status"]
+    stored = db.sql(STORED).withColumn("created_at", F.col("created_at").cast("string"))
+    T.create_store(stored.where("seq % 3 <> 0").select(*columns), f"{folder}/runs")
+    db.sql(RECORDS).select("line").write.text(f"{folder}/records")
+    runs, failures = T.import_records(read_run_records(db.spark, f"{folder}/records", lines=True))
+    schema = stored.select(*columns).schema
+    T.upsert_store(T.read_store(db.spark, f"{folder}/runs", schema), runs, f"{folder}/runs")
+    now = T.read_store(db.spark, f"{folder}/runs", schema)
+    text = lambda v: F.lit(v).cast("string")
+    count = lambda df, name: df.agg(F.count("*").cast("string").alias("filename")).select(
+        F.lit("count").alias("kind"), F.lit(name).alias("id"), "filename", text(None).alias("status")
+    )
+    return (
+        now.select(F.lit("stored").alias("kind"), "id", "filename", "status")
+        .unionByName(failures.select(F.lit("failed").alias("kind"), text(None).alias("id"), F.col("record").alias("filename"), F.col("reason").alias("status")))
+        .unionByName(count(runs, "migrated"))
+        .unionByName(count(failures, "failed"))
+    )
+
+
+@query(f"""with s as ({duck(STORED)}) select id, filename, status from s where id = '42'""")
+def stored_run_lookup(db: Tables):
+    """A run by its id from a stored table: one bucket is read."""
+    folder = f"{shared_folder(db.spark).rstrip('/')}/{uuid.uuid4()}"
+    stored = db.sql(STORED).select("id", "filename", "status", F.col("created_at").cast("string").alias("created_at"))
+    T.create_store(stored, folder)
+    return T.find_run(T.read_store(db.spark, folder, stored.schema), "42").select("id", "filename", "status")

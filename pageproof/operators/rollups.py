@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageproof.functions import text as t
@@ -249,3 +249,41 @@ def sort_results(results: DataFrame, by: str = "status", descending: bool = Fals
 
 def result_page(results: DataFrame, page: int, size: int = 25, **order) -> DataFrame:
     return sort_results(results, **order).offset(page * size).limit(size)
+
+
+def page_after(
+    results: DataFrame, last: Mapping | None = None, size: int = 25, by: str = "status", descending: bool = False
+) -> DataFrame:
+    """The page that follows ``last``, the last row of the page before; the first
+    page without it. Rows are in the order of ``sort_results``, ties broken by the
+    other plain columns. The row's sort key bounds the scan, so a task holds a page
+    at most, however deep the page lies. Rows that are alike in every plain column
+    can't be told apart: give results a ``seq``."""
+    key = status_rank() if by == "status" else F.col(by)
+    first = [c for c in ("url", "check_type", "seq") if c in results.columns and c != by]
+    plain = [c for c, kind in results.dtypes if not kind.startswith(("array", "map", "struct"))]
+    keys = [(by, key), *[(c, F.col(c)) for c in [*first, *plain] if c != by or by == "status"]]
+    keys = list(dict((name if i else "", (name, k)) for i, (name, k) in enumerate(keys)).values())
+    if last is not None:
+        at = F.lit(STATUS_RANK.get(last[by], 9)) if by == "status" else F.lit(last[by])
+        marks = [at, *[F.lit(last[c]) for c, _ in keys[1:]]]
+        beyond, same = F.lit(False), F.lit(True)
+        for i, ((_, key), mark) in enumerate(zip(keys, marks, strict=True)):
+            # Ascending, NULL comes first; descending, it comes last.
+            if i == 0 and descending:
+                after = mark.isNotNull() & ((key < mark) | key.isNull())
+            else:
+                after = (mark.isNull() & key.isNotNull()) | (key > mark)
+            beyond = beyond | (same & F.coalesce(after, F.lit(False)))
+            same = same & key.eqNullSafe(mark)
+        results = results.where(beyond)
+    order = [k.desc() if descending and not i else k.asc() for i, (_, k) in enumerate(keys)]
+    return results.orderBy(*order).limit(size)
+
+
+def ordered_categories(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The category breakdown in report order: ``position`` from 1 by falling
+    total, ties by the first result seen. A group has as many rows as there are
+    categories, a fixed list."""
+    window = Window.partitionBy(*keys).orderBy(F.desc("total"), "first_seq", "category")
+    return category_breakdown(results, keys).withColumn("position", F.row_number().over(window)).drop("first_seq")

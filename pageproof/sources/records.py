@@ -39,14 +39,15 @@ def read_performance(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PERFORMANCE).json(path)
 
 
-def read_run_records(spark: SparkSession, path: str) -> DataFrame:
-    """Stored JSON records, one document per file; ``corrupt`` holds the text
-    of files that could not be read."""
+def read_run_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored JSON records, one document per file, or with ``lines`` one per line,
+    so that large files are split; ``corrupt`` holds the text of those that could
+    not be read."""
     return (
         spark.read.schema(RUN_RECORD + ", corrupt string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "corrupt")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .json(path)
     )
 
