@@ -49,7 +49,9 @@ _KEY_ID = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.:-]*://[^\s"'<>]+""")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.:-")
+_LETTERS = frozenset(c for c in _SCHEME if c.isalpha())
+_ADDRESS = re.compile(r"""[^\s"'<>]+""")
 _BLANK = re.compile(r"\n[ \t]*\n")
 
 
@@ -66,6 +68,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of URLs: a letter and scheme characters, ``://`` and an address. Looked
+    for from each ``://`` backwards, so that a long run of letters is read once."""
+    found, last, at = [], 0, text.find("://")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < at and text[start] not in _LETTERS:
+            start += 1
+        address = _ADDRESS.match(text, at + 3) if start < at else None
+        if address:
+            last = address.end()
+            found.append((start, last))
+        at = text.find("://", max(at + 1, last))
+    return found
+
+
 def _disjoint(spans, taken):
     """Spans that touch none of the sorted spans already taken."""
     ends = [t[1] for t in taken]
@@ -84,7 +104,7 @@ def _weak_parts(text: str, base):
             merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]))
         else:
             merged.append((s[0], s[1]))
-    ends = _disjoint([m.span() for m in _ENDPOINT.finditer(text)], merged)
+    ends = _disjoint(endpoints(text), merged)
     taken = sorted(merged + ends)
     ids = _disjoint([m.span(1) for m in _KEY_ID.finditer(text)], taken)
     taken = sorted(taken + ids)

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -264,3 +266,54 @@ def test_bpe_of_long_runs_and_forgotten_pieces(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     for text in ["a" * 100_000, "é" * 30_000, "!?" * 20_000, " ".join(f"w{i % 13}x" for i in range(300)), ""]:
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_endpoints_are_those_of_a_plain_pattern():
+    rng, plain = random.Random(12), re.compile(r"""[A-Za-z][A-Za-z0-9+.:-]*://[^\s"'<>]+""")
+    for _ in range(4000):
+        text = "".join(rng.choice(["://", "a", "B", ":", "/", "//", "1", ".", " ", '"', "é", "+"]) for _ in range(rng.randint(0, 25)))
+        assert secrets.endpoints(text) == [m.span() for m in plain.finditer(text)]
+
+
+def test_unbroken_runs_take_linear_time():
+    million = 1_000_000
+    texts = ["password=" + "a" * million, "http://x" + "ab:" * (million // 3), "ab:" * (million // 3), "A1b" * (million // 3), "://" * (million // 3)]
+    texts += ["client_id=" + "0f" * (million // 2), "token" + " " * million, "\n" + " \t" * (million // 2), "AKIA" * (million // 4)]
+    for text in texts:
+        start = time.process_time()
+        secrets.scan_text(text + " key_id=abcd https://x.example")
+        assert time.process_time() - start < 5
+
+
+def plain_links(text, base):
+    """The weak parts of a text by comparing all parts with all others."""
+    ids, bare, ends = secrets._weak_parts(text, base)
+    blanks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+    strong_id = [s[:2] for s in base if s[2] == 1]
+    outer = [s[:2] for s in base if s[2] != 1 and not any(o != s and o[2] != 1 and o[0] <= s[0] and s[1] <= o[1] for o in base)]
+
+    def near(part, others):
+        low = max([b for b in blanks if b < part[0]] + [part[0] - secrets.SCOPE_CHARS])
+        high = min([b for b in blanks if b >= part[0]] + [part[1] + secrets.SCOPE_CHARS])
+        return any(o[0] < high and o[1] > low for o in others)
+
+    out = [(*p, 3) for p in ids if near(p, outer) or (near(p, bare) and near(p, ends))]
+    out += [(*p, 4) for p in bare if near(p, strong_id) or (near(p, ids) and near(p, ends))]
+    out += [(*p, 5) for p in ends if (near(p, strong_id) or near(p, ids)) and (near(p, outer) or near(p, bare))]
+    return sorted(out)
+
+
+def test_links_are_those_of_a_plain_interval_join():
+    rng = random.Random(13)
+    parts = ["client_id = shop-7", "q7Rk2LmX9pVb4TzW8yAa", "https://api.example.com/v1", "AKIAABCDEFGHIJKLMN", "token=abcdefghijklmnop", "0123456789abcdef01", "word " * 30, "\n\n", "\n", "x"]
+    for _ in range(1500):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        base = secrets.base_spans(text)
+        assert sorted(secrets.linked_spans(text, base)) == plain_links(text, base)
+
+
+def test_empty_tables_give_empty_results(docs):
+    none = docs([])
+    assert secrets.scan_documents(none).collect() == [] and bpe.encode_documents(none, TOKENIZER).collect() == []
+    profiles = langid.learn(none)
+    assert none.select(langid.predict(F.col("text"), profiles)).collect() == []
