@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pageproof.catalog import duck as d
@@ -13,7 +15,8 @@ from pageproof.operators import faq as Q
 from pageproof.operators import html as H
 from pageproof.operators import sheet_rules as N
 from pageproof.plans import audits
-from pageproof.sources.sheets import expand_merges
+from pageproof.session import shared_folder
+from pageproof.sources.sheets import csv_hyperlinks, expand_merges, read_split_csv_cells
 
 # A small segment in these queries exercises the carry between segments.
 SEGMENT = 8
@@ -454,3 +457,18 @@ def faq_load_failures(db: Tables):
 
 
 
+
+
+@query("""select cast(doc_id as varchar) as id, md5(trim(coalesce(text, ''))) as text_md5, case when doc_id % 3 = 0 then 'https://docs.example/' || doc_id end as link from documents""")
+def csv_cells(db: Tables):
+    """Documents written as CSV, texts with their line breaks and quotes in one cell,
+    and read back in splits; an address as text is a link."""
+    folder = f"{shared_folder(db.spark).rstrip('/')}/{uuid.uuid4()}"
+    address = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))).otherwise("none")
+    rows = db.documents.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), address)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(quoteAll=True, escape='"', emptyValue="", **spaces).csv(folder)
+    cells = csv_hyperlinks(read_split_csv_cells(db.spark, folder))
+    cell = lambda c, n: F.max(F.when(F.col("col_no") == n, F.col(c)))
+    found = cells.groupBy("sheet_id", "row_no").agg(cell("value", 0).alias("id"), cell("value", 1).alias("text"), cell("hyperlink", 2).alias("link"))
+    return found.select("id", F.md5("text").alias("text_md5"), "link")

@@ -204,3 +204,33 @@ def test_a_sheet_without_faqs_starts_no_faq_jobs(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(audits, "faq_results", lambda *a: pytest.fail("FAQ jobs without an FAQ sheet"))
     assert audit.results.count() == 1
+
+
+def test_split_csv_files_have_the_cells_of_whole_ones(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "two words", 'quo"te', "line\nbreak", "", " pad ", "x,y", "é", "cr\r\nlf"])
+    for name in ("a.csv", "b.csv"):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\r\n" if name == "a.csv" else "\n")
+        for _ in range(400):
+            writer.writerow([word() for _ in range(rng.randint(1, 4))])
+            if rng.random() < 0.1:
+                out.write("\n")
+        (tmp_path / name).write_text("\ufeff" + out.getvalue(), encoding="utf-8", newline="")
+    key = lambda r: (r.sheet_id.rsplit("/", 1)[1], r.row_no, r.col_no, r.value)
+    want = sorted(map(key, S.read_csv_cells(spark, str(tmp_path)).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted(map(key, S.read_split_csv_cells(spark, str(tmp_path), segment_bytes=300).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "c.csv").write_text('a,"b"\nc,"d\ne,f\n')
+    got = S.read_split_csv_cells(spark, str(tmp_path / "open")).orderBy("row_no", "col_no").collect()
+    assert [(r.row_no, r.value) for r in got][:3] == [(1, "a"), (1, "b"), (2, "c")] and got[-1].value == "f"
