@@ -382,7 +382,9 @@ def faq_page_text(db: Tables):
     return Q.page_text_results(expected, texts).drop("diff")
 
 
-# One page per conversation holding its pairs in one of four kinds of markup.
+# One page per conversation holding its pairs in one of six kinds of markup or as
+# structured data; the last kind repeats each pair, turned round, in markup of a
+# later strategy, which must not count.
 FAQ_PAGES_PAIR = """
 select u.conv_id, u.turn, replace(replace(replace(u.text, '&', '&amp;'), '<', '&lt;'), chr(10), ' ') as q,
   replace(replace(replace(a.text, '&', '&amp;'), '<', '&lt;'), chr(10), ' ') as a
@@ -393,7 +395,7 @@ from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.tur
 def faq_pages(db: Tables):
     """Markup built per pair, then joined per conversation (a few turns)."""
     p = db.sql(FAQ_PAGES_PAIR)
-    kind = F.col("conv_id") % 5
+    kind = F.col("conv_id") % 7
     quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
     value = lambda c: F.regexp_replace(quoted(c), r'^\{"v":|\}$', "")
     tid = F.concat(F.lit("p"), F.col("turn").cast("string"))
@@ -420,6 +422,20 @@ def faq_pages(db: Tables):
                 F.lit('</a><div class="elementor-tab-content">'), "a", F.lit("</div></div>"),
             ),
         )
+        .when(
+            kind == 5,
+            F.concat(
+                F.lit('<section><a class="elementor-tab-title">'), "q",
+                F.lit('</a><div class="elementor-tab-content">'), "a", F.lit("</div></section>"),
+            ),
+        )
+        .when(
+            kind == 6,
+            F.concat(
+                F.lit("<details><summary>"), "a", F.lit('</summary>'), "q", F.lit('</details><button aria-expanded="false" aria-controls="'), tid,
+                F.lit('">'), "q", F.lit('</button><div hidden id="'), tid, F.lit('"><p>'), "a", F.lit("</p></div>"),
+            ),
+        )
         .otherwise(
             F.concat(F.lit('{"@type":"Question","name":'), value("q"), F.lit(',"acceptedAnswer":{"text":'), value("a"), F.lit("}}"))
         )
@@ -439,8 +455,8 @@ def faq_pages(db: Tables):
 
 
 @query(f"""with p as ({duck(FAQ_PAGES_PAIR)}),
-n as (select 'https://faq.example/c/' || conv_id as url, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as pos, conv_id % 5 as kind,
-  case when conv_id % 5 = 4 then trim(q) else {d.norm(d.decode('q'))} end as question, case when conv_id % 5 = 4 then trim(a) else {d.norm(d.decode('a'))} end as answer from p where trim(q) <> '' and trim(a) <> '')
+n as (select 'https://faq.example/c/' || conv_id as url, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as pos, conv_id % 7 as kind,
+  case when conv_id % 7 = 4 then trim(q) else {d.norm(d.decode('q'))} end as question, case when conv_id % 7 = 4 then trim(a) else {d.norm(d.decode('a'))} end as answer from p where trim(q) <> '' and trim(a) <> '')
 select url, pos, question, answer from n""")
 def faq_markup(db: Tables):
     return Q.published_faqs(faq_pages(db))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from pageproof.functions import text as t
 from pageproof.functions import urls as u
+from pageproof.operators.nested import nested_faqs
 
 BLOCK_TAGS = (
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer "
@@ -394,14 +395,16 @@ def jsonld_faqs(html="html") -> Column:
 
 
 def with_faqs(pages: DataFrame) -> DataFrame:
-    """``faqs``: pairs of the first strategy that yields any. Pages without a
-    marker never reach Python, and structured data short-cuts the rest."""
+    """``faqs``: pairs of the first strategy that yields any. Structured data
+    short-cuts the rest, pages whose tags nest are read on the JVM, and only
+    others that hold a marker reach Python."""
     step = pages.withColumn("_ld", F.when(F.col("html").contains("ld+json"), jsonld_faqs()))
     solved = F.coalesce(F.size("_ld") > 0, F.lit(False))
-    step = step.withColumn(
-        "_dom", _dom_faqs(F.when(~solved & F.col("html").rlike(_FAQ_MARKERS), F.col("html")))
-    )
-    best = F.array_min(F.transform("_dom", lambda p: p["strategy"]))
-    chosen = F.filter("_dom", lambda p: p["strategy"] == best)
+    marked = F.when(~solved & F.col("html").rlike(_FAQ_MARKERS), F.col("html"))
+    step = step.withColumn("_marked", marked).withColumn("_flat", nested_faqs("_marked"))
+    step = step.withColumn("_dom", _dom_faqs(F.when(F.col("_flat").isNull(), F.col("_marked"))))
+    first = lambda pairs: F.filter(pairs, lambda p: p["strategy"] == F.array_min(F.transform(pairs, lambda x: x["strategy"])))
+    chosen = t.let(F.coalesce("_flat", "_dom"), first)
     empty = F.array().cast(FAQ_TYPE)
-    return step.withColumn("faqs", F.when(solved, F.col("_ld")).otherwise(F.coalesce(chosen, empty))).drop("_ld", "_dom")
+    faqs = F.when(solved, F.col("_ld")).otherwise(F.coalesce(chosen, empty))
+    return step.withColumn("faqs", faqs).drop("_ld", "_marked", "_flat", "_dom")
