@@ -167,6 +167,22 @@ def test_url_rules(llm):
     assert urlrules.judge(pages.limit(0)).collect() == []
 
 
+def test_filed_rules_lose_no_match(llm):
+    """Every URL against every expression, without the index."""
+    rng = random.Random(11)
+    hosts = ["ad.x.org", "ads12.x.org", "adserver3.a.de", "doubleclick.b.com", "bad.x.org", "spam-farm7.org", "a.spam-farm.de", "link-exchange9.fr",
+             "\u212aads.de", "x.net"]
+    paths = ["/clickthrough", "/track", "/bannerx", "/f.exe", "/g.APK", "/f.exec", "/a.msi/b", "/wp-login.php", "/\u212acasino", "/casino2", "/xxx/1", "/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)]
+    rules = urlrules.BASE_RULES + urlrules.PATTERN_RULES
+    assert all(r.tokens or r.any_of for r in rules)
+    fit = lambda place: [(r.rank, r.name) for r in rules if re.search(r.pattern, place, re.ASCII)]
+    pages = llm.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    won = {r["page_id"]: r["rule"] or r["pattern_rule"] for r in urlrules.judge(pages, rules).collect()}
+    assert won == {i: max(fit(u.split("://")[1]), default=(0, None))[1] for i, u in enumerate(urls)}
+    assert len(set(won.values())) >= 8
+
+
 def test_rules_are_filed_under_their_rarest_token(llm):
     rules = (urlrules.Rule("r", "block", "spam-farm", ("spam", "farm"), 1), urlrules.Rule("open", "block", "x", (), 1))
     tokens = llm.createDataFrame([("farm",), ("farm",), ("spam",), ("other",)], "token string")
