@@ -225,6 +225,62 @@ def lcs_align_lengths(db: Tables):
     return al.select("pair_id", "n", "m", F.size(F.filter("al", lambda j: j.isNotNull())).alias("aligned"))
 
 
+# Changed paragraphs with the table of common subsequences of their words.
+CHANGED_WORDS = f"""with recursive {SIDES}, {SIMILAR}, there as (select distinct page_id, key from a),
+changed as (select e.page_id, e.idx, e.text as e_text, a.text as a_text, list_transform(string_split({d.display('e.text')}, ' '), lambda w: lower(w)) as ek,
+  list_transform(string_split({d.display('a.text')}, ' '), lambda w: lower(w)) as ak
+  from e join best b on b.page_id = e.page_id and b.e_id = e.idx join a on a.page_id = b.page_id and a.idx = b.a_id where not exists (select 1 from there t where t.page_id = e.page_id and t.key = e.key)),
+grown(page_id, idx, i, ek, ak, cells) as (
+  select page_id, idx, 0, ek, ak, list_transform(range(1, len(ak) + 1), lambda j: 0) from changed
+  union all
+  select page_id, idx, i + 1, ek, ak, list_transform(range(1, len(ak) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(cells[k], case when ak[k] = ek[i + 1] then coalesce(cells[k - 1], 0) + 1 else 0 end))))
+  from grown where i < len(ek)),
+words as (select page_id, idx, len(ek) as n, len(ak) as m, coalesce(list_max(cells), 0) as same from grown where i = len(ek))"""
+
+
+@query(f"""{CHANGED_WORDS}
+select page_id as pair_id, cast(idx as int) as seq, e_text as expected, a_text as actual, cast(n as int) as expected_words, cast(m as int) as actual_words, cast(same as int) as same_words
+from words join changed using (page_id, idx)""")
+def paragraph_word_diffs(db: Tables):
+    """Diffs of changed paragraphs: both sides whole, and as many words kept as can be."""
+    out = K.paragraph_results(paragraph_pairs(db)).where("diff is not null")
+    count = lambda keep: F.size(F.filter("diff", keep))
+    return out.select(
+        "pair_id",
+        "seq",
+        "expected",
+        "actual",
+        count(lambda x: x["expected"].isNotNull()).alias("expected_words"),
+        count(lambda x: x["actual"].isNotNull()).alias("actual_words"),
+        count(lambda x: x["type"] == "same").alias("same_words"),
+    )
+
+
+@query(f"""{CHANGED_WORDS} select page_id as pair_id, cast(sum(same) as bigint) as segments from words group by 1 having sum(same) > 0""")
+def diff_kept_words(db: Tables):
+    stats = R.diff_statistics(K.paragraph_results(paragraph_pairs(db)), ["pair_id"])
+    return stats.where("type = 'same'").select("pair_id", "segments")
+
+
+@query(f"""{LCS_TABLE}, {SIMILAR}, there as (select distinct page_id, key from a),
+tier as (select e.page_id, case when t.key is not null then 'present' when b.a_id is not null then 'changed' else 'missing' end as tier
+  from e left join there t on t.page_id = e.page_id and t.key = e.key left join best b on b.page_id = e.page_id and b.e_id = e.idx),
+n as (select page_id, count(*) filter (tier = 'present') as present, count(*) filter (tier = 'changed') as changed, count(*) filter (tier = 'missing') as missing from tier group by 1)
+select page_id as pair_id, cast(aligned as bigint) as passed, cast(present - aligned as bigint) as moved, changed, missing from n join lengths using (page_id)""")
+def paragraph_outcomes(db: Tables):
+    """Paragraphs of a page in place, moved, changed and missing."""
+    out = K.paragraph_results(paragraph_pairs(db))
+    missing = F.col("message") == "Paragraph is missing from the live page."
+    count = lambda keep: F.count_if(keep)
+    return out.groupBy("pair_id").agg(
+        count(F.col("status") == "passed").alias("passed"),
+        count(F.col("status") == "warning").alias("moved"),
+        count((F.col("status") == "failed") & ~missing).alias("changed"),
+        count(missing).alias("missing"),
+    )
+
+
 @query(f"""with {DRAFTS}, x as (select page_id, {d.display('draft')} as e, {d.display('d.text')} as a from drafts join documents d on d.doc_id = cast(regexp_extract(drafts.url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) as bigint))
 select page_id, md5(e) as expected_md5, md5(a) as actual_md5, cast(len(string_split(e, ' ')) as bigint) as expected_tokens, cast(len(string_split(a, ' ')) as bigint) as actual_tokens from x""")
 def word_diff_rebuilds(db: Tables):

@@ -60,6 +60,19 @@ def first_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str =
     )
 
 
+def one_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str = "1 day") -> DataFrame:
+    """One snapshot per page and calendar period of its own clock, with the
+    period's start as ``period``. Rows up to one period late count; a period's
+    keys leave the state when the watermark is past it, so the state holds three
+    periods at most, however long the stream runs. Rows without a time are dropped."""
+    keyed = snapshots.where(F.col(ts).isNotNull()).withColumn("page_key", normalize_url("url", "url"))
+    return (
+        keyed.withColumn("period", F.window(ts, period)["start"])
+        .withWatermark(ts, period)
+        .dropDuplicatesWithinWatermark(["page_key", "period"])
+    )
+
+
 class BatchProgress(StatefulProcessor):
     """Progress of a batch. Events: created (value = item count), running,
     done, error, aborted; any other is ignored. What a batch comes to depends on

@@ -248,3 +248,28 @@ def test_late_runs_are_told_and_state_is_empty_after_the_period():
     assert until(70) == [("q", "r2", "late")]
     assert handle.states["failing"] == {("b",): (3,)} and handle.states["waiting"] == {}
     assert until(2000) == [] and not any(handle.states.values()) and not handle.timers
+
+
+def test_periods_are_told_apart_and_leave_the_state(spark, tmp_path):
+    """Days arrive one after another; each page counts once a day, an hour's
+    lateness is taken in, a row two days late is not, nor one without a time."""
+    day = dt.timedelta(days=1)
+    pages = ["https://x.com/a", "https://X.com/a/?utm_source=q", "https://x.com/b"]
+    source, got, states = str(tmp_path / "in"), [], []
+    for n in range(6):
+        rows = [(u, T0 + n * day + dt.timedelta(hours=h)) for u in pages for h in (1, 22)]
+        rows += [("https://x.com/a", T0 + (n - 1) * day + dt.timedelta(hours=23)), ("https://x.com/late", T0 + (n - 4) * day), ("https://x.com/c", None)]
+        write(spark, rows, "url string, fetched_at timestamp", source)
+        stream = jobs.one_per_period(jobs.read_snapshots(spark, source, "url string, fetched_at timestamp"))
+        query = (
+            stream.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .foreachBatch(lambda df, _: got.extend(df.collect()))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    seen = sorted((r.page_key, r.period) for r in got if r.page_key != "https://x.com/late")
+    first = [("https://x.com/a", T0 - day)]
+    assert seen == sorted(first + [(p, T0 + n * day) for n in range(6) for p in ("https://x.com/a", "https://x.com/b")])
+    assert all(r.period < T0 for r in got if r.page_key == "https://x.com/late") and states[-1] <= 9
