@@ -130,11 +130,13 @@ def check_registry() -> dict[str, Column]:
     return dict(_built_in_checks())
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """The narrow table field checks need; pages' markup stays behind."""
+def page_facts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The narrow table field checks need, with the columns ``keep``; pages'
+    markup stays behind."""
     full = H.with_body(H.with_head(pages))
     return full.select(
         "url",
+        *keep,
         "title",
         H.meta_description().alias("meta_description"),
         "canonical",

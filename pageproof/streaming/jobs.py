@@ -50,6 +50,27 @@ def audit_snapshots(snapshots: DataFrame, audit_rows: DataFrame, base_url: str =
     return field_results(joined, check_registry())
 
 
+def audit_arriving_rows(
+    snapshots: DataFrame,
+    audit_rows: DataFrame,
+    base_url: str = "",
+    fetched: str = "fetched_at",
+    listed: str = "listed_at",
+    period: str = "1 day",
+) -> DataFrame:
+    """Field checks where check rows arrive too: a row and a snapshot of its page
+    at most ``period`` apart give one result, whichever came first. Both sides'
+    state is narrow (rows, and facts without markup) and leaves when the
+    watermarks are past it. Rows and snapshots without a time meet nothing; names
+    of the two time columns must differ."""
+    rows = dispatch(audit_rows.withWatermark(listed, period)).where("family = 'field'")
+    rows = rows.withColumn("resolved_url", resolve_url("url", F.lit(base_url))).drop("url")
+    facts = page_facts(snapshots.withWatermark(fetched, period), (fetched,))
+    apart = F.expr(f"`{listed}` between `{fetched}` - interval {period} and `{fetched}` + interval {period}")
+    joined = facts.withColumnRenamed("url", "page_url").join(rows, (F.col("page_url") == F.col("resolved_url")) & apart)
+    return field_results(joined.withColumn("load_error", F.lit(None).cast("string")), check_registry())
+
+
 def first_per_period(snapshots: DataFrame, ts: str = "fetched_at", period: str = "1 day") -> DataFrame:
     """One snapshot per page and period: spellings of one URL are one page,
     and keys leave the state once the watermark passes."""

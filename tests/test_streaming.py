@@ -273,3 +273,34 @@ def test_periods_are_told_apart_and_leave_the_state(spark, tmp_path):
     first = [("https://x.com/a", T0 - day)]
     assert seen == sorted(first + [(p, T0 + n * day) for n in range(6) for p in ("https://x.com/a", "https://x.com/b")])
     assert all(r.period < T0 for r in got if r.page_key == "https://x.com/late") and states[-1] <= 9
+
+
+def test_rows_and_pages_meet_whichever_comes_first(spark, tmp_path):
+    """A row before its page, one after it, one listed too late for it, one
+    without a time: results of the first two alone, each once."""
+    hour = dt.timedelta(hours=1)
+    row = "url string, check_type string, issue_type string, expected string, listed_at timestamp"
+    steps = [
+        ([("/a", "t", "title", "A", T0), ("/n", "t", "title", "N", None)], [("https://x.com/b", "<title>B</title>", T0 + hour)]),
+        ([("/b", "t", "title", "Z", T0 + 2 * hour)], [("https://x.com/a", "<title>A</title>", T0 + 3 * hour), ("https://x.com/n", "<title>N</title>", T0)]),
+        ([("/b", "t", "title", "B", T0 + 60 * hour), ("/c", "x", "unknown", "C", T0)], [("https://x.com/c", "<title>C</title>", T0 + 60 * hour)]),
+        ([("/d", "t", "title", "D", T0 + 200 * hour)], [("https://x.com/e", "<title>E</title>", T0 + 200 * hour)]),
+    ]
+    got = []
+    for rows, pages in steps:
+        write(spark, rows, row, tmp_path / "rows")
+        write(spark, pages, "url string, html string, fetched_at timestamp", tmp_path / "pages")
+        out = jobs.audit_arriving_rows(
+            jobs.read_snapshots(spark, str(tmp_path / "pages"), "url string, html string, fetched_at timestamp"),
+            jobs.read_snapshots(spark, str(tmp_path / "rows"), row),
+            "https://x.com",
+        )
+        query = (
+            out.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .foreachBatch(lambda df, _: got.extend(df.collect()))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    assert sorted((r.url, r.expected, r.status) for r in got) == [("https://x.com/a", "A", "passed"), ("https://x.com/b", "Z", "failed")]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
