@@ -247,15 +247,16 @@ def page_text_results(expected: DataFrame, page_texts: DataFrame, keys: Sequence
     page? ``page_texts(url, page_text)``; no extras can be told here. Questions
     meet their page in blocks, so a page is copied once per block, not once per
     question, and no block outgrows its bound by more than chance."""
-    sides = [c for c in keys if c != "url"]
-    asked = expected.select("url", *sides, "pos", "question", "answer")
-    blocks = asked.groupBy("url").agg(F.ceil(F.count("*") / QUESTIONS_A_BLOCK).alias("_blocks"))
-    dealt = asked.join(blocks, "url").withColumn("_block", F.pmod(F.xxhash64(*sides, "pos", "question"), "_blocks"))
-    dealt = dealt.groupBy("url", "_block").agg(F.collect_list(F.struct(*sides, "pos", "question", "answer")).alias("_asked"))
-    joined = dealt.join(page_texts.select("url", t.faq_key("page_text").alias("_hay")), "url")
+    page = [c for c in keys if c in page_texts.columns]
+    sides = [c for c in keys if c not in page]
+    asked = expected.select(*page, *sides, "pos", "question", "answer")
+    blocks = asked.groupBy(*page).agg(F.ceil(F.count("*") / QUESTIONS_A_BLOCK).alias("_blocks"))
+    dealt = asked.join(blocks, page).withColumn("_block", F.pmod(F.xxhash64(*sides, "pos", "question"), "_blocks"))
+    dealt = dealt.groupBy(*page, "_block").agg(F.collect_list(F.struct(*sides, "pos", "question", "answer")).alias("_asked"))
+    joined = dealt.join(page_texts.select(*page, t.faq_key("page_text").alias("_hay")), page)
     inside = lambda c: t.let(t.faq_key(c), lambda n: (n != "") & F.col("_hay").contains(n))
     told = F.transform("_asked", lambda q: F.struct(q.alias("of"), inside(q["question"]).alias("_q"), inside(q["answer"]).alias("_a")))
-    state = joined.select("url", F.explode(told).alias("x")).select("url", "x.of.*", "x._q", "x._a")
+    state = joined.select(*page, F.explode(told).alias("x")).select(*page, "x.of.*", "x._q", "x._a")
     return state.select(
         *keys,
         F.col("pos").alias("seq"),
@@ -281,8 +282,10 @@ def load_failures(groups: DataFrame, failures: DataFrame, keys: Sequence[str] =
 
 
 def page_faqs(pages: DataFrame) -> DataFrame:
-    """(url, faqs, page_text) of each page; the text only where no pair is found."""
-    return with_faqs(pages).select("url", "faqs", F.when(F.size("faqs") == 0, full_text()).alias("page_text"))
+    """(url, faqs, page_text) of each page, and the sheet_id it was fetched for
+    where it has one; the text only where no pair is found."""
+    sheet = [c for c in ("sheet_id",) if c in pages.columns]
+    return with_faqs(pages).select(*sheet, "url", "faqs", F.when(F.size("faqs") == 0, full_text()).alias("page_text"))
 
 
 def check_found(
@@ -291,18 +294,20 @@ def check_found(
     """Expected pairs against ``page_faqs``, one row per URL: structured pages by
     occurrence, others by text, and one warning for a URL without a page. With
     more ``keys`` than the URL (a sheet's id), each of its groups meets the page
-    by itself; the page is still read once."""
+    by itself; the page is still read once. Keys that ``found`` has too say which
+    page a group meets."""
     keys = list(keys)
+    page = [c for c in keys if c in found.columns]
     groups = expected.select(*keys).distinct()
     structured = found.where(F.size("faqs") > 0)
-    actual = groups.join(structured.select("url", F.posexplode("faqs").alias("pos", "f")), "url")
+    actual = groups.join(structured.select(*page, F.posexplode("faqs").alias("pos", "f")), page)
     actual = actual.select(*keys, "pos", "f.question", "f.answer")
-    on_structured = expected.join(structured.select("url"), "url", "left_semi")
-    absent = groups.join(found.select("url"), "url", "left_anti")
+    on_structured = expected.join(structured.select(*page), page, "left_semi")
+    absent = groups.join(found.select(*page), page, "left_anti")
     untested = absent.select("url").distinct().withColumn("error", F.lit(NO_SNAPSHOT))
     return (
         structural_results(match_pairs(on_structured, actual, segment_rows, keys), keys)
-        .unionByName(page_text_results(expected, found.where(F.size("faqs") == 0).select("url", "page_text"), keys))
+        .unionByName(page_text_results(expected, found.where(F.size("faqs") == 0).select(*page, "page_text"), keys))
         .unionByName(load_failures(absent, untested, keys), allowMissingColumns=True)
     )
 

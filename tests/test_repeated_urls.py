@@ -27,7 +27,7 @@ def folders(spark, tmp_path_factory):
 
 NAMES = [
     "stream_audit", "stream_dedup", "stream_live_audit", "canonical_field_check", "image_alt_check",
-    "meta_description_check", "open_graph_check", "twitter_check",
+    "meta_description_check", "open_graph_check", "twitter_check", "sheet_audit",
 ]
 
 
