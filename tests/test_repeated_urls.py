@@ -38,3 +38,11 @@ def test_equals_its_sql(spark, folders, name):
     cursor = db.execute(entry.oracle_sql()[name])
     wanted = canonical(cursor.fetchall(), [c[0] for c in cursor.description])
     assert canonical([tuple(r) for r in found.collect()], found.columns) == wanted
+
+
+@pytest.mark.parametrize(("text", "upper"), [("Groß ßa", "GROẞ ẞA"), ("ŉ ᾳ ﬁn", "ŉ ᾼ ﬁN"), ("été 🙂", "ÉTÉ 🙂"), ("", "")])
+def test_upper_case_keeps_the_number_of_letters(spark, text, upper):
+    from pageproof.catalog.content_queries import UPPER
+
+    row = spark.createDataFrame([(text,)], "x string").selectExpr(UPPER.replace("{}", "x")).first()
+    assert row[0] == upper == duckdb.execute("select upper(?)", [text]).fetchone()[0]
