@@ -74,3 +74,22 @@ def test_summary_sentences(spark):
 def test_udf_keeps_null(spark):
     rows = spark.range(1).select(F.array(F.lit("a"), F.lit("b")).alias("a"), F.lit(None).cast("array<string>").alias("b"))
     assert rows.select(align.lcs_align("a", "b")).first()[0] is None
+
+
+def test_diffs_of_a_batch_are_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = " ".join(f"w{i}" for i in range(2000))
+    expected = pa.array([words, None, "", "a b", *[words.replace("w7 ", "")] * 100])
+    actual = pa.array([words, "x", "", "A c d", *[words] * 100])
+    tracemalloc.start()
+    found = align.diff_array(expected, actual)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # 200,000 segments
+    for e, a, got in zip(expected[:6].to_pylist(), actual[:6].to_pylist(), found[:6].to_pylist()):
+        want = None if e is None else [dict(zip(("type", "expected", "actual"), s)) for s in align.word_diff(e, a)]
+        assert got == want
+    assert [len(x) for x in found[4:].to_pylist()] == [2000] * 100
