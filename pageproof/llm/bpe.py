@@ -167,10 +167,12 @@ class Tokenizer:
             known = self._arcs[key] = self.automaton.follows(state, token)
         return known
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Token ids of the bytes of one piece; its last symbol carries the end
+    def encode_word(self, word: bytes | str) -> list[int]:
+        """Token ids of the bytes of one piece, or of a text's; its last symbol carries the end
         mark. Long tokens are tried first. Only one way leads to a position, so
         none is visited twice."""
+        if isinstance(word, str):
+            word = word.encode()
         words, starts = self.words, self.starts
         whole = words.get(word)
         if whole is not None:
