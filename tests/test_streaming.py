@@ -304,3 +304,45 @@ def test_rows_and_pages_meet_whichever_comes_first(spark, tmp_path):
         query.awaitTermination()
     assert sorted((r.url, r.expected, r.status) for r in got) == [("https://x.com/a", "A", "passed"), ("https://x.com/b", "Z", "failed")]
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_a_small_batch_needs_few_messages_and_a_large_one_is_stored_in_blocks():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Counting(FakeState):
+        def __getattribute__(self, name):
+            if name in ("getValue", "updateValue", "containsKey", "exists", "get", "update", "iterator"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+        def get(self, *_):
+            return dict.get(self, None)
+
+        def getValue(self, key):
+            return dict.get(self, key)
+
+    class Handle(FakeHandle):
+        def getMapState(self, name, *_):
+            return self.states.setdefault(name, Counting())
+
+        getValueState = getMapState
+
+    def event(n, idx, status, value=8):
+        return Row(batch_id="b", seq=n, ts=None, us=n * 1000, idx=idx, filename=f"f{idx}", status=status, value=value)
+
+    own, handle = jobs.BatchProgress(), Handle()
+    own.init(handle)
+    rows = [event(0, -1, "created"), *(event(i + 1, i, "error" if i == 3 else "done") for i in range(8))]
+    (got,) = own.handleInputRows(("b",), iter(rows), None)
+    assert (got.total, got.completed, got.errored, got.status) == (8, 8, 1, "done")
+    assert len(calls) <= 4 and len(handle.timers) == 1
+
+    own, handle = jobs.BatchProgress(), Handle()
+    own.init(handle)
+    items = [event(i + 1, i, "error" if i % 9 == 0 else "done") for i in range(5000)]
+    random.Random(5).shuffle(items)
+    (got,) = own.handleInputRows(("b",), iter([*items, event(0, -1, "created", 5000)]), None)
+    assert (got.total, got.completed, got.errored, got.status) == (5000, 5000, 556, "done")
+    assert handle.states["totals"][None][-1] == 5_000_000 and len(handle.states["settled"]) == 79
