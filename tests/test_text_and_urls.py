@@ -128,3 +128,26 @@ def test_functions_by_name_in_sql_equal_the_column_functions(spark):
                " pp_faq_key(link), pp_decode_entities(link)) as string)").alias("got"),
     )
     assert both.where("not (want <=> got)").collect() == []
+
+
+def test_canonical_urls_are_known_by_their_shape_and_spelled_as_before(spark, monkeypatch):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from pageproof.functions import urls
+
+    rng = random.Random(11)
+    pieces = ["https://", "http://", "HTTP://", "/", "//", "a", "B", "..", ".", "x.com", "X.com", ":80", "?q=1", "#f", " ", "%20", "é", "~", "-", "_", "\n"]
+    rows = [(i, "".join(["https://x.com/", *rng.choices(pieces, k=rng.randint(0, 5))][rng.random() < 0.3 :])) for i in range(3000)]
+    rows += [(3000, None), (3001, "https://x.com/" + "a/" * 20_000 + "b"), (3002, "https://x.com"), (3003, "https://x.com/a\n")]
+    frame = spark.createDataFrame(rows, "i long, url string")
+
+    def spelled():
+        return {r.i: r.u for r in frame.select("i", urls.normalize_url(F.col("url"), F.lit("https://x.com/p/")).alias("u")).collect()}
+
+    fast = spelled()
+    known = {i for i, u in rows if u and re.match(urls.CANONICAL.replace(r"\z", r"\Z"), u) and "/." not in u}
+    monkeypatch.setattr(urls, "CANONICAL", r"\b\B")
+    assert fast == spelled() and 200 < len(known) < 3000 and all(fast[i] == dict(rows)[i] for i in known)
