@@ -9,6 +9,8 @@ make one small profile row per sheet; data rows meet their profile at
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,30 @@ ISSUE_TYPES = [
     ("h1", r"\bh1\b|heading\s*1"),
     ("h2", r"\bh2\b|heading\s*2"),
 ]
+# Wherever a pattern of ISSUE_TYPES is found, so is one of these in the value in
+# lower case: long texts are searched for them first, which costs far less.
+NEEDLES = {
+    "metaDescription": "description",
+    "redirect": "redirect|30",
+    "brokenLink": "link|404|50",
+    "statusCode": "status",
+    "accessibility": "accessib|axe|wcag|a11y|screen",
+    "performance": "performance|lighthouse|speed|vital|lcp|cls|ttfb|fcp|tbt",
+    "imageAlt": "alt",
+    "faq": "faq|accordion",
+    "structuredData": "structured|schema|json-ld",
+    "openGraph": "graph|og:",
+    "twitterCard": "twitter",
+    "internalLinks": "link",
+    "canonical": "canonical",
+    "hreflang": "hreflang",
+    "sitemap": "sitemap",
+    "robots": "robots",
+    "noindex": "noindex",
+    "title": "title",
+    "h1": "h1|heading",
+    "h2": "h2|heading",
+}
 RECOMMENDATIONS = [
     ("metaDescription", "Meta Description", r"meta\s*description"),
     ("canonical", "Canonical Tag", r"canonical"),
@@ -76,7 +102,14 @@ def first_match(value: Column, table, default: str | None = None) -> Column:
 
 @t.by_name
 def issue_type(value) -> Column:
-    return t.let(value, lambda v: first_match(v, ISSUE_TYPES, "unknown"))
+    def build(v: Column, low: Column) -> Column:
+        out = F
+        for name, pattern in ISSUE_TYPES:
+            likely = reduce(or_, [low.contains(needle) for needle in NEEDLES[name].split("|")])
+            out = out.when(likely & v.rlike(f"(?i){pattern}"), F.lit(name))
+        return out.otherwise(F.lit("unknown"))
+
+    return t.let(value, lambda v: t.let(F.lower(v), lambda low: build(v, low)))
 
 
 def alias_family(header: Column) -> Column:

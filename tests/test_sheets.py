@@ -234,3 +234,28 @@ def test_split_csv_files_have_the_cells_of_whole_ones(spark, tmp_path):
     (tmp_path / "open" / "c.csv").write_text('a,"b"\nc,"d\ne,f\n')
     got = S.read_split_csv_cells(spark, str(tmp_path / "open")).orderBy("row_no", "col_no").collect()
     assert [(r.row_no, r.value) for r in got][:3] == [(1, "a"), (1, "b"), (2, "c")] and got[-1].value == "f"
+
+
+def test_needles_of_issue_types_turn_no_match_away(spark):
+    """Every way to write a pattern, also in capitals, between other letters and
+    beside characters that change their length in lower case, against the patterns
+    alone."""
+    import itertools
+    import re
+
+    def ways(pattern):
+        pattern = re.sub(r"\\b|\(\?:|\)", "", pattern)
+        for part in pattern.split("|"):
+            pieces = re.findall(r"\[[^]]*\]|\\s\*|.\?|.", part)
+            options = [("", " ", "\t\n") if p == r"\s*" else tuple(p[1:-1]) if p[0] == "[" else ("", p[0]) if p.endswith("?") else (p,) for p in pieces]
+            yield from ("".join(x) for x in itertools.product(*options))
+
+    written = sorted({w for _, pattern in N.ISSUE_TYPES for w in ways(pattern)})
+    values = [v for w in written for v in (w, w.upper(), f"\u0130\u1e9e {w.title()}, \u212a", f"x{w}", f"{w}9", w[:-1])] + ["", None, "plain"]
+    frame = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    got = frame.select("i", N.issue_type("v").alias("found"), N.first_match(F.col("v"), N.ISSUE_TYPES, "unknown").alias("plain")).collect()
+    assert [r for r in got if r.found != r.plain] == [] and {r.found for r in got} == {*N.NEEDLES, "unknown"}
+    # Each pattern by itself, as an earlier one may hide it.
+    own = frame.where("v is not null").select("v", F.lower("v").alias("low"), *[F.col("v").rlike(f"(?i){p}").alias(k) for k, p in N.ISSUE_TYPES]).collect()
+    for name, _ in N.ISSUE_TYPES:
+        assert not [r.v for r in own if r[name] and not any(n in r.low for n in N.NEEDLES[name].split("|"))]
