@@ -346,3 +346,23 @@ def test_a_small_batch_needs_few_messages_and_a_large_one_is_stored_in_blocks():
     (got,) = own.handleInputRows(("b",), iter([*items, event(0, -1, "created", 5000)]), None)
     assert (got.total, got.completed, got.errored, got.status) == (5000, 5000, 556, "done")
     assert handle.states["totals"][None][-1] == 5_000_000 and len(handle.states["settled"]) == 79
+
+
+def test_waiting_entries_are_stored_in_blocks():
+    import pandas as pd
+
+    own, handle = jobs.RunComparison(retention_ms=1000), FakeHandle()
+    own.init(handle)
+    columns = ["ts", "run_no", "run_id", "key", "is_end"]
+    rows = [(pd.Timestamp(10 * n, unit="ms"), n, f"r{n}", f"k{i}", False) for n in (1, 2) for i in range(500 * n, 500 * n + 1000) for _ in range(2)]
+    ends = [(pd.Timestamp(10 * n + 5, unit="ms"), n, f"r{n}", None, True) for n in (1, 2)]
+    for frame in (pd.DataFrame(rows + ends[:1], columns=columns), pd.DataFrame(ends[1:], columns=columns)):
+        assert list(own.handleInputRows(("s", 0), iter([frame]), None)) == []
+    assert len(handle.states["waiting"]) == 2
+    out = []
+    for at in sorted(handle.timers):
+        info = type("Info", (), {"getExpiryTimeInMs": lambda self, at=at: at})()
+        out += [(r.run_id, r.change) for f in own.handleExpiredTimer(("s", 0), None, info) for r in f.itertuples(index=False)]
+    counted = {x: out.count(x) for x in set(out)}
+    assert counted == {("r1", "new"): 1000, ("r2", "fixed"): 500, ("r2", "still"): 500, ("r2", "new"): 500}
+    assert handle.states["waiting"] == {} and len(handle.states["failing"]) == 1000
