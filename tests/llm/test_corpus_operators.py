@@ -268,3 +268,25 @@ def test_targets_take_the_shares_of_rare_domains_as_upper_ones():
     assert got["good"] == 0.89 and got["toxic"] == 0.01 and abs(got["low"] - 0.05 * sum(got.values())) < 1e-12
     got = mixing._targets({"good": 700.0, "low": 200.0, "toxic": 100.0}, share, 1.0)
     assert all(abs(got[d] - share[d] * 0.7 / 0.93) < 1e-12 for d in share)
+
+
+def test_toxicity_is_learnt_from_all_rows_in_several_parts(docs, llm, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 60)
+    rng, taught = random.Random(9), []
+    kept = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, model, n: (taught.append((n, rows.count(), rows.rdd.getNumPartitions())), kept(rows, model, n)))
+    word = lambda: f"word{rng.randrange(300)}"
+    texts = [" ".join([word() for _ in range(20)] + ["vilething"] * (i % 3 == 0)) for i in range(240)]
+    model = toxicity.learn(docs(texts[:180], lang="en"), llm.createDataFrame([(i, int(i % 3 == 0)) for i in range(180)], "doc_id long, toxic int"))
+    assert taught == [({0: 120, 1: 60}, 180, 3)]
+    assert sum((model.score(texts[i]) >= 0.5) == (i % 3 == 0) for i in range(180, 240)) >= 57
+
+
+def test_shortened_texts_pool_the_same():
+    import numpy as np
+
+    rng, model = np.random.default_rng(3), toxicity._fresh(np.arange(1, 40))
+    for _ in range(200):
+        known = np.where(rng.random((rng.integers(0, 40), 3)) < 0.05, rng.integers(1, 40, 1), 0).astype(np.int32)
+        whole, short = (model.pooled(toxicity._padded(x))[0] for x in (known, toxicity.shortened(known)))
+        assert np.allclose(whole, short)
