@@ -290,3 +290,96 @@ def test_shortened_texts_pool_the_same():
         known = np.where(rng.random((rng.integers(0, 40), 3)) < 0.05, rng.integers(1, 40, 1), 0).astype(np.int32)
         whole, short = (model.pooled(toxicity._padded(x))[0] for x in (known, toxicity.shortened(known)))
         assert np.allclose(whole, short)
+
+
+def test_labelled_texts_alone_are_shuffled(llm, monkeypatch):
+    rows = [(i, f"text {i}", "en") for i in range(-1000, 4000)] + [(None, "no id", None), (7, "again", None)]
+    frame = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = llm.createDataFrame([(i, i % 2) for i in range(-990, 9000, 45)] + [(7, 1), (7, 0), (8, 1)], "doc_id long, toxic int")
+    marks = [tuple(r) for r in labels.collect()]
+    want = sorted((i, t, k) for i, t, _ in rows for j, k in marks if i == j)
+    assert len(want) == 116
+    for bits in (toxicity.BITS, 1 << 17, 40, 1):
+        monkeypatch.setattr(toxicity, "BITS", bits)
+        got = toxicity.labelled(frame, labels)
+        assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in got.collect()) == want
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        if bits >= 1 << 17:
+            assert toxicity.likely(frame, labels).count() <= 113 + 20
+
+
+def test_learning_stores_no_more_than_the_labelled_texts(docs, llm, monkeypatch):
+    stored, kept = [], toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df: (stored.append(df), kept(df))[1])
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(2000)) for i in range(60)]
+    toxicity.learn(docs(texts), llm.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    size = sum(sum(len(v) for v in r if isinstance(v, (str, bytes, bytearray))) for r in stored[0].collect())
+    assert size <= sum(map(len, texts[:20]))
+
+
+def test_words_of_a_batch_are_hashed_as_alone():
+    import numpy as np
+    from zlib import crc32
+
+    def plain(word):
+        h, out = 0, []
+        for i, b in enumerate(word):
+            h += b * pow(toxicity._BASE, i, 1 << 64)
+        out.append(h if len(word) <= toxicity.PIECE else crc32(word))
+        for n in toxicity.BEGINNINGS:
+            out.append((int.from_bytes(word[:n], "little") + (n << 56)) * toxicity._BASE)
+        mixed = [((x := h % (1 << 64)) ^ (x >> 32)) * toxicity._MIX % (1 << 64) for h in out]
+        return [x >> 44 for x in mixed]
+
+    rng = random.Random(1)
+    texts = [None, "", "  ", "One, two_THREE", "É é ß\x00z", "a", "--"]
+    texts += ["".join(rng.choice("abcdefgh\u00fc\n.  ") for _ in range(rng.randrange(3000))) for _ in range(40)]
+    ids, n_words = toxicity.bucket_ids(texts)
+    words = [(t or "").encode().translate(toxicity._WORD_BYTES).split() for t in texts]
+    assert n_words.tolist() == [len(w) for w in words]
+    assert ids.tolist() == [plain(w) for of in words for w in of]
+    size = toxicity.PIECE
+    for n in (size - 1, size, size + 1, 2 * size, 5 * size):
+        for before in ("", "ab cd ", "x " * (size // 2 - 3), "y " * size):
+            ids, n_words = toxicity.bucket_ids([before + "q" * n + " end", "next"])
+            alone = toxicity.bucket_ids(["q" * n])[0].tolist()
+            assert n_words.tolist() == [len(before.split()) + 2, 1]
+            assert ids[-3:].tolist() == alone + toxicity.bucket_ids(["end next"])[0].tolist()
+    assert toxicity.bucket_ids(["q" * (size + 1)])[0].tolist() == [plain(b"q" * (size + 1))]
+    assert np.bincount(toxicity.bucket_ids([" ".join(map(str, range(200_000)))])[0][:, 0]).max() < 9
+
+
+def test_texts_of_a_batch_score_as_alone(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(50)]
+    texts = [None, "", "none of these"] + [" ".join(rng.choice([*words, *["other"] * 150]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    model = toxicity._fresh(np.unique(toxicity.bucket_ids(words)[0][:, 0]))
+    model.biases[:] = np.linspace(-1, 1, len(model.biases))
+    model.langs, model.lang_rows = ["de", "en"], np.zeros(toxicity.BUCKETS, np.int32)
+    model.lang_rows[toxicity.bucket_ids(["word1 word2"])[0][:, 0]] = [1, 2]
+    model.lang_weights, model.thresholds = np.array([[0, 0], [1, -1], [-1, 1.0]]), {"de": 0.5, "en": -0.5}
+
+    def plain(text):
+        ids, n_words = toxicity.bucket_ids([text])
+        rows = toxicity._padded(model.rows[ids])
+        best = np.zeros(toxicity.N_FILTERS)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for at in range(len(ids)):
+                if rows[at : at + width].any():
+                    for f in range(toxicity.FILTERS):
+                        own = [model.filters[toxicity._PAIR_AT[k, j] + f] @ model.embedded(rows[at + j : at + j + 1])[0] for j in range(width)]
+                        best[k * toxicity.FILTERS + f] = max(best[k * toxicity.FILTERS + f], sum(own) + model.biases[k * toxicity.FILTERS + f])
+        counts = [(text or "").split().count(w) for w in ("word1", "word2")]
+        cut = 0.0 if not sum(counts) else 0.5 if counts[0] >= counts[1] else -0.5
+        return 1 / (1 + np.exp(-(best @ model.weights + model.bias[0] - cut)))
+
+    want = [plain(t) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=1e-5) and len({round(w, 3) for w in want}) > 40
+    whole = model.scores(texts)
+    for block, piece in ((7, 1 << 18), (20_000, 300)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(model.scores(texts), whole, atol=1e-6)
+    assert np.allclose([model.score(t) for t in texts], whole, atol=1e-6)
