@@ -39,18 +39,20 @@ import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces in each of the two generations that a worker remembers.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Pieces of more bytes are not remembered.
 CACHED_BYTES = 64
+#: Ids decoded at a time.
+DECODED_IDS = 1 << 16
 #: Transitions it keeps in its table at a time.
-CACHE_ARCS = 500_000
+CACHE_ARCS = 300_000
 
 _END = "</w>"
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -124,7 +126,6 @@ class Tokenizer:
         model = spec["model"]
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         made = {m[2] for m in merges}
@@ -146,14 +147,17 @@ class Tokenizer:
                 entry[0] = i
         self._width = {i: len(t) for t, i in self.words.items()}
         self._width |= {i: len(t) for t, i in spelt.items() if not t.endswith(_END)}
-        self._label_bytes = {i: t.encode() for i, t in self.labels.items()}
-        self._known: dict[str, tuple[bytes, bytes]] = {}
-        self._before: dict[str, tuple[bytes, bytes]] = {}
+        self._label_bytes = {i: t.encode() for t, i in [*vocab.items(), *self.special.items()]}
+        self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         cut = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
         self._pieces = regex.compile(cut.format(letters=r"\p{L}", digits=r"\p{N}", space=_SPACE), regex.VERSION0)
         self._ascii_pieces = re.compile(cut.format(letters="a-z", digits="0-9", space=r"\t-\r\x20"))
-        self._library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
+        # The library only normalises and pre-splits here, for which it needs no vocabulary.
+        bare = model | {"vocab": {}, "merges": [], "unk_token": None}
+        unused = dict.fromkeys(["truncation", "padding", "post_processor", "decoder"])
+        self._library = tokenizers.Tokenizer.from_str(json.dumps(spec | unused | {"model": bare, "added_tokens": []}))
         self._byte_of = byte_of
         self._arcs: dict[int, bool] = {}
         self._points: set[str] = set()
@@ -211,14 +215,12 @@ class Tokenizer:
             trail.append((at, state, options))
             at, state = end, target[token]
 
-    def _coded(self, word: bytes) -> tuple[bytes, bytes]:
-        """A piece's ids, as little-endian unsigned 32-bit integers, and its labels."""
-        ids, labels = self.encode_word(word), self._label_bytes
-        if len(ids) == 1:
-            return ids[0].to_bytes(4, "little"), labels[ids[0]]
-        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([labels[i] for i in ids])
+    def _coded(self, word: bytes) -> bytes:
+        """A piece's ids, as little-endian unsigned 32-bit integers."""
+        ids = self.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _remembered(self, piece: str) -> tuple[bytes, bytes]:
+    def _remembered(self, piece: str) -> bytes:
         """As ``_coded``, from the pieces remembered. When their table is full, it
         becomes the older one, so that frequent pieces are never all forgotten."""
         known = self._known.get(piece)
@@ -243,7 +245,7 @@ class Tokenizer:
         # Lower-casing goes by the single character, without the final sigma rule.
         return self._pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
+    def _parts(self, text: str) -> list[bytes]:
         """The coded pieces of a text without special tokens."""
         if not text.isascii() and self._unknown(text):
             library, byte_of = self._library, self._byte_of
@@ -257,27 +259,28 @@ class Tokenizer:
                     known[i] = self._remembered(pieces[i])
         return known
 
-    def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in
-        UTF-8: the labels, joined by spaces."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self._special is None or not self._special.search(text):
-            parts = self._parts(text)
-        else:
-            parts, at = [], 0
-            for m in self._special.finditer(text):
-                token = self.special[m[0]]
-                parts += [*self._parts(text[at : m.start()]), (token.to_bytes(4, "little"), self._label_bytes[token])]
-                at = m.end()
-            parts += self._parts(text[at:])
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+            return b"".join(self._parts(text))
+        parts, at = [], 0
+        for m in self._special.finditer(text):
+            parts += [*self._parts(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
+            at = m.end()
+        return b"".join(parts + self._parts(text[at:]))
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The text, in UTF-8, of ids as ``encode_bytes`` gives them: their labels,
+        joined by spaces."""
+        labels, step = self._label_bytes, 4 * DECODED_IDS
+        if len(ids) <= step:
+            return b" ".join([labels[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+        return b" ".join([self.decode_bytes(ids[i : i + step]) for i in range(0, len(ids), step)])
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encode_bytes(text)[0]
+        ids = self.encode_bytes(text)
         return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
-    def decode(self, ids) -> str:
-        return " ".join(self.labels[i] for i in ids)
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
@@ -295,14 +298,18 @@ def encode(text: Column, path: str, keep_ids: bool = True) -> Column:
     """Struct of a text's token count, ids, and digests of ids and decoded text.
     Null and empty texts have no tokens. ``keep_ids=False`` leaves the ids out."""
 
-    @F.pandas_udf(CODED)
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        own, rows = tokenizer(path), []
+    @F.arrow_udf(CODED)
+    def coded(texts: pa.Array) -> pa.Array:
+        own, counts, kept, digests = tokenizer(path), [], [], ([], [])
+        # One text at a time becomes an object, and one decoded text is held.
         for value in texts:
-            ids, decoded = own.encode_bytes(value or "")
-            digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
-            rows.append((len(ids) // 4, ids if keep_ids else None, *digests))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            ids = own.encode_bytes(value.as_py() or "")
+            counts.append(len(ids) // 4)
+            kept.append(ids if keep_ids else None)
+            digests[0].append(hashlib.sha256(ids).hexdigest())
+            digests[1].append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+        columns = [pa.array(counts, pa.int64()), pa.array(kept, pa.binary()), *(pa.array(d, pa.string()) for d in digests)]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     return coded(text)
 
@@ -311,10 +318,10 @@ def decode(ids: Column, path: str) -> Column:
     """Text of ids as ``encode`` gives them: the labels of the arcs, joined by
     spaces. Null stays null; no ids give an empty text."""
 
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decoded(values: pa.Array) -> pa.Array:
         own = tokenizer(path)
-        return values.map(lambda v: own.decode(struct.unpack(f"<{len(v) // 4}I", v)), na_action="ignore")
+        return pa.array([own.decode_bytes(v.as_py()).decode() if v.is_valid else None for v in values], pa.string())
 
     return decoded(ids)
 

@@ -4,9 +4,13 @@ import hashlib
 import json
 import random
 import re
+import struct
+import subprocess
+import sys
 import time
 import unicodedata
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,6 +272,31 @@ def test_bpe_of_long_runs_and_forgotten_pieces(library, monkeypatch):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_decodes_long_ids_in_slices(library, monkeypatch):
+    own = bpe.tokenizer(TOKENIZER)
+    monkeypatch.setattr(bpe, "DECODED_IDS", 3)
+    for n in [0, 1, 2, 3, 4, 6, 7, 100]:
+        ids = library.encode("qzxv " * n, add_special_tokens=False).ids[:n]
+        assert own.decode_bytes(struct.pack(f"<{n}I", *ids)) == library.decode(ids, skip_special_tokens=False).encode()
+
+
+FILL = """
+import random, resource, sys
+from pageproof.llm import bpe
+own, rng = bpe.tokenizer(sys.argv[1]), random.Random(3)
+for _ in range(420):
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000)]
+    own.encode_bytes(" ".join(words))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+
+
+def test_bpe_worker_that_remembers_all_it_may_stays_small():
+    root = Path(bpe.__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", FILL, TOKENIZER], cwd=root, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 240
+
+
 def test_endpoints_are_those_of_a_plain_pattern():
     rng, plain = random.Random(12), re.compile(r"""[A-Za-z][A-Za-z0-9+.:-]*://[^\s"'<>]+""")
     for _ in range(4000):
